@@ -10,6 +10,8 @@ from .chat import digest, format_chat
 from .common import table
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .packing import pack
+from .token_matrix import token_matrix
 
 MIX_WEIGHTS = {"domain": {"src0": 2, "src1": 3}, "language": {"en": 4, "de": 2}, "source": {"src10": 2}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 7
@@ -36,9 +38,23 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chat(rows.unionByName(trap)))
 
 
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+
+
+def op3_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_matrix(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+
+
+def op5_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_token_matrix": op3_token_matrix,
+        "op5_balanced_packing": op5_balanced_packing,
         "op6_mixing": op6_mixing,
         "op9_chat_format": op9_chat_format,
     }
