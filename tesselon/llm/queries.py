@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .chat import digest, format_chat
-from .common import table
+from .common import held_out, table
 from .exact_dedup import exact_dedup
+from .language import identify
 from .mixing import mix
 from .packing import pack
 from .token_matrix import token_matrix
+from .toxicity import toxicity
 
 MIX_WEIGHTS = {"domain": {"src0": 2, "src1": 3}, "language": {"en": 4, "de": 2}, "source": {"src10": 2}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 2, 7
@@ -38,6 +40,17 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(format_chat(rows.unionByName(trap)))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "toxicity.*")
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
@@ -52,8 +65,10 @@ def op5_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_token_matrix": op3_token_matrix,
+        "op4_language": op4_language,
         "op5_balanced_packing": op5_balanced_packing,
         "op6_mixing": op6_mixing,
         "op9_chat_format": op9_chat_format,

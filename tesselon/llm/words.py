@@ -47,7 +47,7 @@ def words(texts: pa.Array) -> Words:
 
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The sum of the values of each text; 0 for one without any."""
-    total = np.concatenate((np.zeros(1, values.dtype), np.cumsum(values, axis=0)))
+    total = np.concatenate((np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)))
     return total[starts[1:]] - total[starts[:-1]]
 
 
