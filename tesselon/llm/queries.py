@@ -12,6 +12,8 @@ from .exact_dedup import exact_dedup
 from .language import identify
 from .mixing import mix
 from .packing import pack
+from .quality import quality
+from .secrets import find_secrets
 from .token_matrix import token_matrix
 from .toxicity import toxicity
 
@@ -30,6 +32,15 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.*")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "quality.*")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secrets.*")
+
+
 #: A conversation whose texts hold control strings of chat templates.
 TRAP = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
@@ -71,6 +82,8 @@ def queries() -> dict:
         "op4_language": op4_language,
         "op5_balanced_packing": op5_balanced_packing,
         "op6_mixing": op6_mixing,
+        "op7_quality": op7_quality,
+        "op8_secrets": op8_secrets,
         "op9_chat_format": op9_chat_format,
     }
 
