@@ -9,6 +9,7 @@ from . import oracle
 from .chat import digest, format_chat
 from .common import held_out, table
 from .exact_dedup import exact_dedup
+from .jaccard import Likeness, jaccard_join
 from .language import identify
 from .mixing import mix
 from .packing import pack
@@ -74,6 +75,16 @@ def op5_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"), Likeness(words=3, num=90, den=100))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # lies at the top of the repository
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -85,6 +96,8 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op8_secrets": op8_secrets,
         "op9_chat_format": op9_chat_format,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
+        "pipeline": pipeline,
     }
 
 
