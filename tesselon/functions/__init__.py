@@ -1 +1 @@
-
+"""Column functions: ids, offsets, distances."""

@@ -1 +1 @@
-
+"""Index partitions, vectors, matrices, collectives and solvers."""
