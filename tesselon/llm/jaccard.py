@@ -4,17 +4,18 @@ Equal shingle sets are one node. Nodes meet in size-banded tiles: sizes fall in
 bands so narrow that linked sets lie in the same band or in neighbouring ones, and
 within two bands linked sets differ in a bounded number of shingles. The hash
 space is cut into more parts than that, so linked sets agree in a part; the band,
-the part and its content make the key of a tile. Nodes that share tiles, directly
-or through others, make a block, and no link leaves a block. Inside a block,
-parity bitmaps of hashed shingles are compared first: the bits in which two
-differ bound the overlap from above; pairs that remain and aren't connected yet
-are decided by intersecting the sorted arrays. Large blocks are dealt out as
-pairs of chunks, so every task has bounded work.
+the part and its content make the key of a tile. Tiles with the same nodes are one.
+
+In a tile, parity bitmaps of hashed shingles are compared: the bits in which two
+differ bound their overlap from above. Pairs that may be linked connect nodes to
+blocks, which no link leaves, and within a block sorted arrays are intersected
+exactly for pairs that aren't connected yet. Tiles and blocks too large for a task
+are dealt out as pairs of chunks, so every task has bounded work.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -27,10 +28,8 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .components import components
-from .words import mix64, one_array, sums, words
+from .words import SLICE, mix64, one_array, slices, sums, tidy, words
 
-#: Texts whose shingles are formed at once.
-STRIDE = 1000
 #: A part may be empty in so many cases before empty parts count as content.
 SPARE = 1
 #: Documents and shingles of a chunk of a large block, about.
@@ -39,7 +38,13 @@ CHUNK_DOCS, CHUNK_SHINGLES = 2048, 1_000_000
 BUNDLE_SHINGLES = 500_000
 #: Candidate rows that are broadcast to the texts at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-BITS_LEAST, BITS_MOST = 64, 8192
+BITS_LEAST, BITS_MOST = 64, 32_768
+#: Nodes of a chunk of a large tile, and tile rows that share a task, about.
+CHUNK_NODES, BUNDLE_ROWS = 8192, 100_000
+#: Tiles of so many nodes at most are compared together, all pairs of each at once.
+FEW = 8
+#: Nodes of a tile whose pairs are compared in one step; larger ones go node by node.
+MATRIX = 256
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,6 +65,13 @@ class Likeness:
         """The same, never falling as sets grow."""
         return (self.den - self.num) * both // (self.num + self.den)
 
+    def bits(self, size: int) -> int:
+        """Bits of the bitmap of a set, some more than linked sets of its size can differ in."""
+        found = BITS_LEAST
+        while found < min(BITS_MOST, 4 * self.bound(2 * size)):
+            found *= 2
+        return found
+
     @cached_property
     def bands(self) -> np.ndarray:
         """The least size of each band; the last entry is beyond any size."""
@@ -138,68 +150,190 @@ def tile_keys(sets: np.ndarray, starts: np.ndarray, like: Likeness) -> tuple[np.
     return np.concatenate(texts), np.concatenate(keys)
 
 
-def combined(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fewer (key, node) rows that connect the same nodes.
-
-    Of the nodes with a key only the first keeps it; the others are tied to that
-    one by a key of their own, once however many keys they share.
-    """
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    head = np.ones(len(key), bool)
-    head[1:] = key[1:] != key[:-1]
-    first = node[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))]
-    other = ~head & (node != first)
-    ties = np.unique(np.stack([first[other], node[other]]), axis=1)
-    tie = mix64(mix64(ties[0]) + ties[1] * ODD)
-    return np.concatenate([key[head], tie, tie]), np.concatenate([node[head], ties[0], ties[1]])
-
-
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.Array]]:
-    for k in range(0, batch.num_rows, STRIDE):
-        yield k, one_array(batch.column(column).slice(k, STRIDE))
-
-
 def nodes_of(df: DataFrame, id_col: str, text_col: str, like: Likeness) -> DataFrame:
-    """doc_id, n_shingles, node, check of every row; node is null for an empty set."""
+    """doc_id, n_shingles, node, check and bitmap of every row; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, texts in _slices(batch, 1):
+            for k, texts in enumerate(slices(batch.column(1))):
                 sets, starts = shingle_sets(texts, like.words)
                 node, check = set_names(sets, starts)
                 n = np.diff(starts)
-                columns = [batch.column(0).slice(k, STRIDE), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(check.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "check"])
+                maps = [bitmap(sets[a:b], like.bits(b - a)).tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+                columns = [batch.column(0).slice(k * SLICE, SLICE), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), pa.array(maps, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "check", "bitmap"])
+            tidy()
 
     rows = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, bitmap binary")
 
 
-def edges_of(df: DataFrame, text_col: str, like: Likeness) -> DataFrame:
-    """(a, b): the least node of a tile with each other one."""
+def tiles_of(df: DataFrame, text_col: str, like: Likeness) -> DataFrame:
+    """(tile, nodes, node): the nodes of each tile that has several, tiles with the same nodes being one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for _, texts in _slices(batch, 0):
+            for texts in slices(batch.column(0)):
                 sets, starts = shingle_sets(texts, like.words)
+                node = set_names(sets, starts)[0]
+                _, once = np.unique(node, return_index=True)
                 text, key = tile_keys(sets, starts, like)
-                found.append((key, set_names(sets, starts)[0][text]))
-            if found:
-                key, node = combined(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64))], ["key", "node"])
+                first = np.zeros(len(node), bool)
+                first[once] = True
+                use = first[text]  # equal sets have equal keys
+                yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(node[text[use]].view(np.int64))], ["key", "node"])
+            tidy()
 
     rows = df.select(F.col(f"`{text_col}`")).mapInArrow(run, "key long, node long")
-    least = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    return rows.select(least.alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    # Equal sets of other batches repeat rows, so a node counts where it comes first.
+    new = F.coalesce(F.lag("node").over(Window.partitionBy("key").orderBy("node")) != F.col("node"), F.lit(True))
+    whole = Window.partitionBy("key")
+    rows = rows.withColumn("new", new).withColumn("nodes", F.sum(F.col("new").cast("long")).over(whole))
+    mark = F.when(F.col("new"), F.shiftright(F.xxhash64("node"), 8))
+    rows = rows.withColumn("mark", F.sum(mark).over(whole)).filter("nodes > 1 and new")
+    return rows.select(F.xxhash64("nodes", "mark").alias("tile"), "nodes", "node").distinct()
+
+
+def edges_of(df: DataFrame, text_col: str, docs: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): pairs of nodes that may be linked and connect what all such pairs connect."""
+    tiles = cut(tiles_of(df, text_col, like))
+    maps = docs.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
+    bundles = max(1, -(-tiles.count() // BUNDLE_ROWS))
+    chunks = F.ceil(F.col("nodes") / CHUNK_NODES).cast("int")
+    small = tiles.filter(F.col("nodes") <= CHUNK_NODES).select("tile", "node", F.pmod("tile", F.lit(bundles)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"))
+    large = dealt(tiles.filter(F.col("nodes") > CHUNK_NODES).withColumn("chunks", chunks), "node")
+    large = large.select("tile", "node", F.col("tile").alias("task"), "i", "j", "side")
+    joined = small.unionAll(large).join(maps, "node").select("task", "i", "j", "tile", "node", "side", "size", "bitmap")
 
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("tile", "ascending"), ("size", "ascending"), ("node", "ascending")])
+        tile, node, side, size = (np.asarray(group.column(c)) for c in ("tile", "node", "side", "size"))
+        a, b = possible_edges(tile, size, side, Bitmaps(group.column("bitmap").to_pylist()), like)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+
+    return joined.groupBy("task", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """The parity of the hashed shingles at each of ``bits`` places, a row of 64-bit words for each set."""
-    low = np.uint64(bits - 1)
-    rows = [np.packbits(np.bincount(((s >> np.uint64(17)) & low).astype(np.int64), minlength=bits) & 1) for s in sets]
-    return np.array(rows, np.uint8).view(np.uint64).reshape(len(sets), bits // 64)
+
+def dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of large groups (with ``chunks``) for each pair (i, j) of chunks; side tells the chunk, 2 that both are one."""
+    own = F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")
+    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", side)
+
+
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    """The parity of the hashed shingles at each of ``bits`` places."""
+    place = ((own >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits) & 1, bitorder="little")
+
+
+class Bitmaps:
+    """Bitmaps by width; a wider one is folded to the width of what it is compared with."""
+
+    def __init__(self, rows: list[bytes]):
+        width = np.array([len(r) for r in rows], np.int64)
+        self.width = width
+        self.place = np.zeros(len(rows), np.int64)
+        self.tables: dict[int, np.ndarray] = {}
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero(width == w)
+            self.place[at] = np.arange(len(at))
+            self.tables[w] = np.frombuffer(b"".join(rows[k] for k in at), np.uint64).reshape(len(at), w // 8)
+
+    def folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out = np.empty((len(rows), width // 8), np.uint64)
+        for w in np.unique(self.width[rows]).tolist():
+            at = self.width[rows] == w
+            found = self.tables[w][self.place[rows[at]]]
+            while found.shape[1] > width // 8:
+                half = found.shape[1] // 2
+                found = found[:, :half] ^ found[:, half:]
+            out[at] = found
+        return out
+
+    def alike(self, rows: np.ndarray) -> np.ndarray:
+        """The bitmaps of rows at the least of their widths."""
+        return self.folded(rows, int(self.width[rows].min()))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """In how many bits the bitmaps of rows a and b differ."""
+        out = np.zeros(len(a), np.int64)
+        least = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(least).tolist():
+            for at in np.array_split(np.flatnonzero(least == w), 1 + len(a) * w // 8_000_000):
+                out[at] = np.bitwise_count(self.folded(a[at], w) ^ self.folded(b[at], w)).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def reach(n: int, partners: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Edges (f, others) of a spanning forest; ``partners`` tells which of some nodes are f's.
+
+    Nodes that were reached are not asked about again, so a group of alike nodes takes one step.
+    """
+    left = np.arange(n)
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            f = front.pop()
+            hit = partners(f, left)
+            if hit.any():
+                found, left = left[hit], left[~hit]
+                front.extend(found.tolist())
+                yield f, found
+
+
+@dataclass
+class Closeness:
+    """Which nodes of a group may be linked by size, side and bitmap."""
+
+    size: np.ndarray
+    side: np.ndarray
+    maps: np.ndarray
+    like: Likeness
+
+    def all_pairs(self) -> np.ndarray:
+        """The same for all pairs of a small group."""
+        a, b = self.size[:, None], self.size[None, :]
+        good = (self.like.num * np.maximum(a, b) <= self.like.den * np.minimum(a, b)) & ((self.side[:, None] != self.side[None, :]) | (self.side == 2)[:, None])
+        np.fill_diagonal(good, False)
+        i, j = np.nonzero(good)
+        apart = np.bitwise_count(self.maps[i] ^ self.maps[j]).sum(axis=1, dtype=np.int64)
+        good[i, j] = apart <= self.like.difference(self.size[i] + self.size[j])
+        return good
+
+    def partners(self, f: int, others: np.ndarray) -> np.ndarray:
+        own, size = self.size[f], self.size[others]
+        good = (self.like.num * np.maximum(size, own) <= self.like.den * np.minimum(size, own)) & ((self.side[others] != self.side[f]) | (self.side[f] == 2))
+        at = np.flatnonzero(good)
+        apart = np.bitwise_count(self.maps[others[at]] ^ self.maps[f]).sum(axis=1, dtype=np.int64)
+        good[at] = apart <= self.like.difference(own + size[at])
+        return good
+
+
+def possible_edges(tile: np.ndarray, size: np.ndarray, side: np.ndarray, maps: Bitmaps, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
+    """Rows a and b that may be linked and connect what all such pairs of a tile connect; rows come by tile and size."""
+    bounds = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True]))) if len(tile) else np.zeros(1, np.int64)
+    first, count = bounds[:-1], np.diff(bounds)
+    out_a, out_b = [], []
+    for n in range(2, FEW + 1):
+        at = first[count == n]
+        i, j = np.triu_indices(n, 1)
+        a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+        near = (like.den * size[a] >= like.num * size[b]) & ((side[a] != side[b]) | (side[a] == 2))
+        a, b = a[near], b[near]
+        good = maps.apart(a, b) <= like.difference(size[a] + size[b])
+        out_a.append(a[good])
+        out_b.append(b[good])
+    for s, n in zip(first[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
+        may = Closeness(size[s : s + n], side[s : s + n], maps.alike(np.arange(s, s + n)), like)
+        pairs = may.all_pairs() if n <= MATRIX else None
+        some = np.arange(n) if pairs is None else np.flatnonzero(pairs.any(axis=1))
+        known = may.partners if pairs is None else (lambda f, others, pairs=pairs[np.ix_(some, some)]: pairs[f, others])
+        for f, found in reach(len(some), known):
+            out_a.append(np.full(len(found), s + some[f]))
+            out_b.append(s + some[found])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def spanning_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, like: Likeness) -> list[tuple[int, int]]:
@@ -207,32 +341,20 @@ def spanning_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray,
 
     side 0 and 1 are two chunks, of which only pairs across count; 2 is compared with everything.
     """
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    names, sets, side = names[order], [sets[k] for k in order], side[order]
     size = np.array([len(s) for s in sets], np.int64)
-    bits = BITS_LEAST
-    while bits < min(BITS_MOST, 8 * like.bound(int(2 * size[-1]))):
-        bits *= 2
-    maps = bitmaps(sets, bits)
-    label = np.arange(len(sets))
-    links = []
-    for i in range(len(sets)):
-        upto = int(np.searchsorted(size, size[i] * like.den // like.num, side="right"))
-        j = np.arange(i + 1, upto)
-        j = j[(label[j] != label[i]) & ((side[j] != side[i]) | (side[i] == 2))]
-        if not len(j):
-            continue
-        apart = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1, dtype=np.int64)
-        possible = apart <= like.difference(size[i] + size[j])
-        for k in j[possible][np.argsort(apart[possible], kind="stable")].tolist():
-            if label[k] == label[i]:
-                continue
-            at = np.searchsorted(sets[k], sets[i])
-            same = int((sets[k][np.minimum(at, size[k] - 1)] == sets[i]).sum())
-            if like.den * same >= like.num * (int(size[i]) + int(size[k]) - same):
-                links.append((int(names[i]), int(names[k])))
-                label[label == label[k]] = label[i]
-    return links
+    rows = Bitmaps([bitmap(s, like.bits(len(s))).tobytes() for s in sets])
+    may = Closeness(size, side, rows.alike(np.arange(len(sets))), like)
+
+    def linked(f: int, others: np.ndarray) -> np.ndarray:
+        hit = may.partners(f, others)
+        own = sets[f]
+        for k in np.flatnonzero(hit).tolist():
+            other = sets[others[k]]
+            same = int((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum())
+            hit[k] = like.den * same >= like.num * (len(own) + len(other) - same)
+        return hit
+
+    return [(int(names[f]), int(names[k])) for f, found in reach(len(sets), linked) for k in found.tolist()]
 
 
 def links_of(df: DataFrame, id_col: str, text_col: str, docs: DataFrame, blocks: DataFrame, like: Likeness) -> DataFrame:
@@ -240,17 +362,14 @@ def links_of(df: DataFrame, id_col: str, text_col: str, docs: DataFrame, blocks:
     firsts = docs.filter("node is not null").groupBy("node", "n_shingles", "check").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
     found = cut(firsts.join(blocks.withColumnRenamed("root", "block"), "node").select("rep", "block", "node", "n_shingles"))
     sizes = found.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    large = sizes.filter((F.col("docs") > CHUNK_DOCS) | (F.col("shingles") > CHUNK_SHINGLES))
+    big = sizes.filter((F.col("docs") > CHUNK_DOCS) | (F.col("shingles") > CHUNK_SHINGLES))
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    placed = found.join(large.select("block", chunks.alias("chunks")), "block", "left")
+    placed = found.join(big.select("block", chunks.alias("chunks")), "block", "left")
     total = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bundle = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-total // BUNDLE_SHINGLES))))
     small = placed.filter("chunks is null").select("rep", "block", "node", bundle.alias("tile"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"))
-    own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
-    dealt = placed.filter("chunks is not null").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("rep", "block", "node", F.col("block").alias("tile"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    tiles = cut(small.unionAll(dealt))
+    large = dealt(placed.filter("chunks is not null"), "rep").select("rep", "block", "node", F.col("block").alias("tile"), "i", "j", "side")
+    tiles = cut(small.unionAll(large))
     few = tiles.count() <= BROADCAST_ROWS
     texts = df.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").alias("text"))
     joined = texts.join(F.broadcast(tiles) if few else tiles, "rep").select("tile", "i", "j", "rep", "block", "node", "side", "text")
@@ -286,7 +405,7 @@ def jaccard_join(df: DataFrame, like: Likeness | None = None, id_col: str = "doc
     """
     like = like or Likeness()
     docs = cut(nodes_of(df, id_col, text_col, like))
-    blocks = cut(components(edges_of(df, text_col, like)))
+    blocks = cut(components(edges_of(df, text_col, docs, like)))
     linked = components(links_of(df, id_col, text_col, docs, blocks, like))
     key = ["node", "n_shingles", "check"]
     groups = docs.filter("node is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))

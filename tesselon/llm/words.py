@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
+
 
 @dataclass
 class Words:
@@ -25,6 +30,23 @@ class Words:
         return np.repeat(np.arange(len(self.starts) - 1), self.lengths())
 
 
+#: Texts that a worker handles at once; an Arrow batch may hold many more.
+SLICE = 1000
+
+
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """A batch in parts that bound a worker's memory; one empty part for an empty batch."""
+    for k in range(0, max(len(texts), 1), size):
+        yield one_array(texts.slice(k, size))
+
+
+def tidy() -> None:
+    """Give back what an idle worker would otherwise keep for its next task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def one_array(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """Strings without nulls (null counts as empty)."""
     if isinstance(column, pa.ChunkedArray):
