@@ -127,3 +127,17 @@ def strength_graph(a: DataFrame, block_size: int, epsilon: float) -> DataFrame:
     if epsilon > 1:
         return edge
     return edge.unionAll(own.select(F.col("node").alias("gi"), F.col("node").alias("gj"), F.lit(1.0).alias("v")))
+
+
+def node_partition(dofs: PRange, block_size: int) -> PRange:
+    """The nodes of unknowns that lie ``block_size`` to a node on one part."""
+    first = dofs.own().filter((F.col("gid") - 1) % block_size == 0)
+    own = (F.floor((F.col("own_id") - 1) / block_size) + 1).cast("int")
+    index = first.select("part", own.alias("lid"), ((F.col("gid") - 1) / block_size + 1).cast("long").alias("gid"), "owner", own.alias("own_id"), F.lit(0).alias("ghost_id"))
+    return PRange(index, dofs.n // block_size, dofs.parts)
+
+
+def wide_modes(low: DataFrame) -> DataFrame:
+    """(gid, b1, ...) from (gid, mode, v)."""
+    names = sorted({r.mode for r in low.select("mode").distinct().collect()})  # one for each mode
+    return low.groupBy("gid").agg(*[F.sum(F.when(F.col("mode") == m, F.col("v")).otherwise(F.lit(0.0))).alias(f"b{m}") for m in names])

@@ -164,6 +164,35 @@ class Local:
         out.coarse_part = np.array(part)
         return out
 
+    def strength_graph(self, block_size: int, epsilon: float) -> Local:
+        """Ones between nodes whose blocks are strong against the diagonal ones; itself for single unknowns."""
+        if block_size == 1:
+            return self
+        n = self.m // block_size
+        norms = Local.of(self.row() // block_size, self.col // block_size, self.val**2, n, n, self.part[::block_size])
+        row, d = norms.row(), np.sqrt(np.asarray(norms.diag()))
+        size = np.sqrt(norms.val)
+        kept = (row == norms.col) | ((size > 0) & (size >= epsilon * np.sqrt(d[row] * d[norms.col])))
+        return Local.of(row[kept], norms.col[kept], np.ones(kept.sum()), n, n, norms.part)
+
+    def keeping(self, modes: np.ndarray, block_size: int, epsilon: float) -> tuple[Local, np.ndarray]:
+        """A prolongator of aggregates of nodes that keeps ``modes`` (columns), and the coarse modes."""
+        nodes = self.strength_graph(block_size, epsilon).prolongator(0.0)
+        k = modes.shape[1]
+        i, j, v, low = [], [], [], np.zeros((nodes.n * k, k))
+        for g, own in enumerate(np.split(nodes.row()[np.argsort(nodes.col, kind="stable")], np.cumsum(np.bincount(nodes.col, minlength=nodes.n))[:-1])):
+            rows = (own[:, None] * block_size + np.arange(block_size)).ravel()
+            if len(rows) < k:
+                raise ValueError("an aggregate has fewer unknowns than modes")
+            q, r = np.linalg.qr(modes[rows])
+            i.append(np.repeat(rows, k))
+            j.append(np.tile(g * k + np.arange(k), len(rows)))
+            v.append(q.ravel())
+            low[g * k : (g + 1) * k] = r
+        out = Local.of(np.concatenate(i), np.concatenate(j), np.concatenate(v), self.m, nodes.n * k, self.part)
+        out.coarse_part = np.repeat(nodes.coarse_part, k)
+        return out, low
+
     def galerkin(self, p: Local) -> Local:
         out = p.T @ (self @ p)
         out.part = getattr(p, "coarse_part", np.ones(out.m, np.int64))

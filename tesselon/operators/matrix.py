@@ -140,6 +140,11 @@ class PSparseMatrix:
         a, b = ("gi", "gj") if order == "row" else ("gj", "gi")
         return self.triplets().withColumn("k", F.row_number().over(Window.partitionBy(a).orderBy(b)))
 
+    def nzindex(self, wanted: DataFrame, order: str = "row") -> DataFrame:
+        """(gi, gj, k): the place of each wanted position among its row's (or column's) entries; 0 where nothing is stored."""
+        found = self.nonzeros(order).select("gi", "gj", "k")
+        return wanted.join(found, ["gi", "gj"], "left").select("gi", "gj", F.coalesce("k", F.lit(0)).alias("k"))
+
     def centralize(self) -> list[tuple[int, int, float]]:
         """All entries on the driver; an error beyond LOCAL_ENTRIES."""
         rows = self.triplets().limit(LOCAL_ENTRIES + 1).collect()

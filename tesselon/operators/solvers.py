@@ -15,6 +15,7 @@ from typing import Any
 from . import distributed
 from .local import Local
 from .matrix import PSparseMatrix
+from .prange import trivial_partition
 from .vector import PVector, pones, prand, pzeros
 
 # -- what both kinds of matrices and vectors can do
@@ -263,8 +264,8 @@ class Coarsening:
     omega: Callable = omega_for_1d_laplace
     repartition_threshold: int = 2000
 
-    def __call__(self, a) -> tuple[Any, Any]:
-        """The prolongator and the coarse matrix."""
+    def __call__(self, a, modes=None) -> tuple[Any, Any, Any]:
+        """The prolongator, the coarse matrix and its modes (constants have none)."""
         scaled = a.scale_rows(inverse(a.diag())).cut()
         omega = self.omega(scaled)
         if isinstance(a, Local):
@@ -272,24 +273,57 @@ class Coarsening:
             coarse = a.galerkin(p)
             if coarse.m <= self.repartition_threshold:
                 coarse.part = coarse.part * 0 + 1
-            return p, coarse
+            return p, coarse, None
         found, coarse_rows = distributed.aggregates(a, self.epsilon)
         p0 = distributed.constant_prolongator(found, coarse_rows, a.rows.remove_ghost()).cut()
         p = (p0 - (scaled @ p0) * omega).cut()
         coarse = (a @ p).cut()
         coarse = p.spmtm(coarse).cut()
         if coarse.rows.n <= self.repartition_threshold:
-            from .prange import trivial_partition
-
             one = trivial_partition(a.df.sparkSession, a.rows.parts, coarse.rows.n)
             coarse = coarse.repartition(one, one)
             p = PSparseMatrix(p.df, p.rows, one)
-        return p, coarse
+        return p, coarse, None
 
 
 smoothed_aggregation = Coarsening
 
 
+@dataclass(frozen=True)
+class BlockCoarsening:
+    """Smoothed aggregation of nodes with several unknowns that keeps given modes.
+
+    Modes are an array of columns on the local path and a table (gid, b1, ...) on
+    the distributed one. A coarse node has as many unknowns as there are modes.
+    """
+
+    block_size: int
+    epsilon: float = 0.0
+    omega: Callable = None
+
+    def __call__(self, a, modes) -> tuple[Any, Any, Any]:
+        """The prolongator, the coarse matrix and its modes."""
+        omega = self.omega or lambda_generic
+        scaled = a.scale_rows(inverse(a.diag())).cut()
+        if isinstance(a, Local):
+            # Below the finest level a node has as many unknowns as modes.
+            size = self.block_size if a.m % modes.shape[1] or not getattr(a, "coarse", False) else modes.shape[1]
+            p0, low = a.keeping(modes, size, self.epsilon)
+            p = a.smoothed(p0, scaled, omega(scaled))
+            coarse = a.galerkin(p)
+            coarse.coarse = True
+            return p, coarse, low
+        size = self.block_size if not isinstance(modes, tuple) else modes[1]
+        table = modes if not isinstance(modes, tuple) else modes[0]
+        graph = distributed.strength_graph(a.triplets(), size, self.epsilon)
+        nodes = a.rows.remove_ghost() if size == 1 else distributed.node_partition(a.rows, size)
+        found, coarse_rows = distributed.aggregates(PSparseMatrix(graph, nodes, nodes), 0.0)
+        p0, low = distributed.tentative_prolongator(found, coarse_rows, a.rows.remove_ghost(), table, size)
+        p = (p0 - (scaled @ p0) * omega(scaled)).cut()
+        coarse = p.spmtm((a @ p).cut()).cut()
+        return p, coarse, (distributed.wide_modes(low), len(table.columns) - 1)
+
+
 @dataclass(frozen=True)
 class LevelParams:
     pre: Callable = additive_schwarz
@@ -315,18 +349,22 @@ class Hierarchy:
     coarse_solver: LinearSolver
 
 
+def amg_level_params_linear_elasticity(block_size: int, epsilon: float = 0.0) -> LevelParams:
+    return LevelParams(pre=lambda p: gauss_seidel(p, 1), coarsening=BlockCoarsening(block_size, epsilon))
+
+
 def amg_fine_params(params: LevelParams = LevelParams(), levels: int = 6) -> list[LevelParams]:
     return [params] * levels
 
 
-def amg_setup(a, params: list[LevelParams], coarse_size: int = 10, coarse_solver: Callable = lu) -> Hierarchy:
+def amg_setup(a, params: list[LevelParams], coarse_size: int = 10, coarse_solver: Callable = lu, modes=None) -> Hierarchy:
     levels: list[Level] = []
     for p in params:
         x = zeros_for(a)
         problem = linear_problem(x, a, x)
         pre = p.pre(problem)
         post = pre if p.post is None else p.post(problem)
-        prolongator, coarse = p.coarsening(a)
+        prolongator, coarse, modes = p.coarsening(a, modes)
         levels.append(Level(a, prolongator, prolongator.T, pre, post, p.visits))
         a = coarse
         if a.shape[0] <= coarse_size:
@@ -353,7 +391,7 @@ def amg(problem: LinearProblem, params: list[LevelParams] | None = None, coarse_
     """One cycle for each solve; a new matrix sets the hierarchy up again."""
 
     def setup(a, nullspace):
-        return amg_setup(a, params or amg_fine_params(), coarse_size, coarse_solver)
+        return amg_setup(a, params or amg_fine_params(), coarse_size, coarse_solver, nullspace)
 
     return linear_solver(problem, setup, lambda x, h, b, state: (amg_cycle(h, x, b), "stop"))
 

@@ -10,7 +10,7 @@ from tesselon.operators.local import Local, Vector, localise, sweeps
 from tesselon.operators.matrix import psparse
 from tesselon.operators.prange import uniform_partition
 from tesselon.operators.solvers import (
-    Coarsening, LevelParams, additive_schwarz, amg, amg_fine_params, amg_statistics, backward_euler, cg, default_solver, gauss_seidel, identity_solver,
+    BlockCoarsening, Coarsening, LevelParams, additive_schwarz, amg, amg_fine_params, amg_level_params_linear_elasticity, amg_statistics, backward_euler, cg, default_solver, gauss_seidel, identity_solver,
     jacobi, lambda_generic, linear_problem, lu, newton_raphson, nonlinear_problem, ode_problem, preconditioner, richardson, zeros_for,
 )
 from tesselon.operators.vector import pfill, pones
@@ -141,6 +141,25 @@ def test_amg():
     assert np.allclose(m.update(matrix=a * 2.0).workspace.levels[0].matrix.val, 2 * a.val)
 
 
+def test_amg_keeps_rigid_modes(spark):
+    nodes = (6, 6, 6)
+    coo, rows, _ = gallery.linear_elasticity_fem(spark, nodes, (1, 2, 1))
+    coords, _ = gallery.node_coordinates_unit_cube(spark, nodes)
+    table = gallery.nullspace_linear_elasticity(coords, 3)
+    modes = np.array([list(r)[1:] for r in table.orderBy("gid").collect()])
+    e = psparse(coo, rows, rows).cut()
+    a = localise(e)
+    b = a @ Vector.of(np.ones(a.m))
+    p = linear_problem(a.zeros(), a, b, nullspace=modes)
+    m = amg(p, amg_fine_params(amg_level_params_linear_elasticity(3, 0.02)), coarse_size=60)
+    plain, better = len(list(cg(p, tolerance=1e-9).history())), cg(p, precondition=m.apply, tolerance=1e-9)
+    assert len(list(better.history())) < plain / 2 and error(better.solve()) < 1e-6
+    far, coarse, _ = BlockCoarsening(3, 0.02, lambda scaled: 0.5)(e, table)
+    near, small, low = BlockCoarsening(3, 0.02, lambda scaled: 0.5)(a, modes)
+    assert far.shape == near.shape and low.shape[1] == 6
+    assert np.allclose(np.abs(far.dense()), np.abs(near.dense())) and coarse.shape == small.shape
+
+
 def test_distributed_amg_cycle(laplace, here):
     params = lambda: amg_fine_params(LevelParams(pre=lambda q: jacobi(q, 1, 2 / 3)), 1)
     far = amg(problem(*laplace), params()).apply(laplace[1])
