@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fold
-from .words import Words, one_array, sums, words
+from .words import Words, one_array, slices, sums, tidy, words
 
 #: Rows of each language to learn from, about; the counts of so many words are kept.
 FIT_ROWS, FIT_WORDS = 2500, 200_000
@@ -49,6 +49,8 @@ class LanguageModel:
     def fit(counted: list[tuple[str, str, int]]) -> LanguageModel:
         """From (language, lower-cased word, count)."""
         languages = sorted({c[0] for c in counted})
+        if not languages:
+            return LanguageModel([], np.zeros((0, 0), np.float32), {})
         place = {name: k for k, name in enumerate(languages)}
         rows: list[np.ndarray] = []
 
@@ -147,9 +149,13 @@ def predicted(model: LanguageModel, text: Column) -> Column:
 
     @F.arrow_udf(schema)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            named, score = model.predict(words(one_array(texts)))
-            yield pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(score)], ["lang", "score"])
+        for batch in batches:
+            parts = []
+            for texts in slices(batch):
+                named, score = model.predict(words(texts))
+                parts.append(pa.StructArray.from_arrays([pa.array(named, pa.string()), pa.array(score)], ["lang", "score"]))
+            yield pa.concat_arrays(parts)
+            tidy()
 
     return run.asNondeterministic()(text)
 

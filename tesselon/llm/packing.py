@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .tokens import codec, with_end
-from .words import one_array
+from .words import SLICE, slices, tidy
 
 CAPACITY = 4096
 #: Tokens that are packed together.
@@ -94,13 +94,13 @@ def windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
         lengths = np.concatenate([h[2] for h in held])
         return names, np.concatenate([h[1] for h in held]), np.concatenate(([0], np.cumsum(lengths)))
 
-    for batch in batches:
-        ids, starts = with_end(*encode(one_array(batch.column(1))), end_id)
-        at, n = 0, batch.num_rows
+    encoded = ((batch.column(0).slice(k * SLICE, SLICE), with_end(*encode(texts), end_id)) for batch in batches for k, texts in enumerate(slices(batch.column(1))))
+    for own, (ids, starts) in encoded:
+        at, n = 0, len(own)
         while at < n:
             upto = max(at + (not held), int(np.searchsorted(starts, starts[at] + window - size, side="right")) - 1)
             if upto > at:
-                held.append((batch.column(0).slice(at, upto - at), ids[starts[at] : starts[upto]], np.diff(starts[at : upto + 1])))
+                held.append((own.slice(at, upto - at), ids[starts[at] : starts[upto]], np.diff(starts[at : upto + 1])))
                 size += int(starts[upto] - starts[at])
             at = upto
             if at < n:
@@ -121,6 +121,7 @@ def streamed(tokenizer: str, end_id: int, window: int, make: Callable[[pa.Array,
             step = 4000
             for k in range(0, out.num_rows, step):
                 yield out.slice(k, step)
+        tidy()
 
     return run
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .toxicity import labelled
-from .words import Words, mix64, one_array, sums, unique_per_text, words
+from .words import Words, mix64, one_array, slices, sums, tidy, unique_per_text, words
 
 #: Labelled rows to learn from, at most, of each class.
 FIT_GOOD, FIT_BAD = 3000, 3000
@@ -249,8 +249,7 @@ def judged(model: QualityModel, text: Column) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             parts = []
-            for k in range(0, max(len(batch), 1), 2000):
-                texts = one_array(batch.slice(k, 2000))
+            for texts in slices(batch):
                 split = words(texts)
                 found = base_counts(texts, split)
                 failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > MOST_REPEATED * found["n_words"])
@@ -258,6 +257,7 @@ def judged(model: QualityModel, text: Column) -> Column:
                 columns = [pa.array(found[f], pa.int64()) for f in FIELDS] + [pa.array(failed), pa.array(good), pa.array(~failed & (good >= GOOD_FROM))]
                 parts.append(pa.StructArray.from_arrays(columns, schema.names))
             yield pa.concat_arrays(parts)
+            tidy()
 
     return run.asNondeterministic()(text)
 

@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
 from .common import fold
-from .words import Words, one_array, unique_per_text, words
+from .words import Words, slices, tidy, unique_per_text, words
 
 #: Labelled rows to learn from, at most, of each class.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
@@ -34,8 +35,8 @@ THRESHOLD = 0.7
 LEAST_GAIN = 18.0
 #: A term in more than this share of the labelled texts says nothing.
 COMMON = 0.2
-#: Bands and minima in each, for finding near copies among the labelled rows.
-BANDS, BAND = 4, 3
+#: Minima of a text's terms, how many make a band, and how many near copies share.
+MINIMA, BAND, ALIKE = 16, 4, 10
 PREFIXES = (4, 5, 6, 7)
 #: Shares of a text's words from which a repeated term also counts as a frequent one, and the marks of those terms.
 LEVELS = ((0.005, 0x5BD1E995), (0.01, 0x27D4EB2F), (0.02, 0x165667B1))
@@ -85,36 +86,39 @@ def term_sets(split: Words) -> list[np.ndarray]:
     return [np.unique(term[a:b]).astype(np.uint32) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-def without_copies(sets: list[np.ndarray], labels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """One of each group of near copies (term sets alike by 0.6 or more), found by banded minima.
+def minima(own: np.ndarray) -> list[int]:
+    """The least of a set of terms under each of MINIMA scrambles."""
+    odd = np.arange(1, 2 * MINIMA, 2, dtype=np.uint32) * np.uint32(0x9E3779B1) | np.uint32(1)
+    return [int(((own ^ (own >> np.uint32(15))) * m).min()) if len(own) else 0 for m in odd]
+
+
+def without_copies(signatures: list[list[int]]) -> list[int]:
+    """The first of each group of near copies: texts that agree in enough minima.
 
     Copies would make their chance words look like telling ones.
     """
-    keys: dict[tuple, list[int]] = {}
+    bands: dict[tuple, list[int]] = {}
     kept: list[int] = []
-    odd = np.arange(1, 2 * BANDS * BAND, 2, dtype=np.uint32) * np.uint32(0x9E3779B1) | np.uint32(1)
-    for k, own in enumerate(sets):
-        lows = [int(((own ^ (own >> np.uint32(15))) * m).min()) if len(own) else 0 for m in odd]
-        bands = [(b, *lows[b * BAND : (b + 1) * BAND]) for b in range(BANDS)]
-        near = {j for band in bands for j in keys.get(band, ())[:20]}
-        same = (len(np.intersect1d(own, sets[j], assume_unique=True)) for j in near)
-        if any(n >= 0.6 * (len(own) + len(sets[j]) - n) for j, n in zip(near, same, strict=True)):
+    for k, own in enumerate(signatures):
+        keys = [(b, *own[b : b + BAND]) for b in range(0, MINIMA, BAND)]
+        near = {j for key in keys for j in bands.get(key, ())[:20]}
+        if any(sum(x == y for x, y in zip(own, signatures[j], strict=True)) >= ALIKE for j in near):
             continue
         kept.append(k)
-        for band in bands:
-            keys.setdefault(band, []).append(k)
-    return [sets[k] for k in kept], labels[kept]
+        for key in keys:
+            bands.setdefault(key, []).append(k)
+    return kept
 
 
-def divergence(a: np.ndarray, b: np.ndarray, toxic: int, clean: int) -> np.ndarray:
-    """The likelihood-ratio statistic of presence by class, for counts of texts with each term."""
-    total, n = a + b, toxic + clean
+def divergence(a: Column, n: Column, toxic: int, clean: int) -> Column:
+    """The likelihood-ratio statistic of a term's presence by class; a of n texts with the term are toxic."""
+    total = toxic + clean
 
-    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(F.lit(0.0))
 
-    cells = ((a, total * toxic / n), (b, total * clean / n), (toxic - a, (n - total) * toxic / n), (clean - b, (n - total) * clean / n))
-    return 2 * sum(part(seen, expected) for seen, expected in cells)
+    cells = ((a, n * toxic / total), (n - a, n * clean / total), (toxic - a, (total - n) * toxic / total), (clean - (n - a), (total - n) * clean / total))
+    return sum((part(seen, expected) for seen, expected in cells), F.lit(0.0)) * 2
 
 
 @dataclass
@@ -127,27 +131,17 @@ class FactorizationMachine:
     factors: np.ndarray
 
     @staticmethod
-    def fit(sets: list[np.ndarray], labels: np.ndarray, epochs: int = 60, rate: float = 0.05, decay: float = 2e-5, seed: int = 5) -> FactorizationMachine:
-        """Adam on the log loss over the terms that differ most between the classes."""
+    def fit(active: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, epochs: int = 60, rate: float = 0.05, decay: float = 2e-5, seed: int = 5) -> FactorizationMachine:
+        """Adam on the log loss; ``active`` terms in ascending order, of which each text has a set."""
         rng = np.random.default_rng(seed)
-        sets, labels = without_copies(sets, np.asarray(labels))
         y = labels.astype(np.float64)
         toxic, clean = int(y.sum()), int(len(y) - y.sum())
         if not toxic or not clean:
-            return FactorizationMachine(np.zeros(0, np.uint32), 4.0 if toxic else -4.0, np.zeros(0), np.zeros((0, FACTORS)))
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        every, code = np.unique(np.concatenate(sets), return_inverse=True)
-        a = np.bincount(code, y[owner], len(every))
-        b = np.bincount(code, minlength=len(every)) - a
-        gain = divergence(a, b, toxic, clean)
-        gain[(a + b) > COMMON * len(y)] = 0
-        best = np.argsort(-gain, kind="stable")[:ACTIVE_TERMS]
-        best = np.sort(best[gain[best] > LEAST_GAIN])
-        place = np.full(len(every), -1)
-        place[best] = np.arange(len(best))
+            return FactorizationMachine(active[:0], 4.0 if toxic else -4.0, np.zeros(0), np.zeros((0, FACTORS)))
+        best = active
         x = np.zeros((len(sets), len(best)), np.float32)
-        kept = place[code] >= 0
-        x[owner[kept], place[code[kept]]] = 1
+        for k, own in enumerate(sets):
+            x[k, np.searchsorted(best, own)] = 1
         w0, w = np.log(toxic / clean), np.zeros(len(best))
         v = rng.normal(0, 0.01, (len(best), FACTORS))
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v)]
@@ -168,7 +162,7 @@ class FactorizationMachine:
                     p -= rate * (s[0] / (1 - 0.9**at)) / (np.sqrt(s[1] / (1 - 0.999**at)) + 1e-8)
                 bias_m, bias_s = 0.9 * bias_m + 0.1 * g.sum(), 0.999 * bias_s + 0.001 * g.sum() ** 2
                 w0 -= rate * (bias_m / (1 - 0.9**at)) / (np.sqrt(bias_s / (1 - 0.999**at)) + 1e-8)
-        return FactorizationMachine(every[best].astype(np.uint32), float(w0), w, v)
+        return FactorizationMachine(active, float(w0), w, v)
 
     def score(self, split: Words) -> np.ndarray:
         """The probability of each text, 0 to 1."""
@@ -207,19 +201,35 @@ def labelled(df: DataFrame, labels: DataFrame, label_col: str, limits: dict[int,
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> FactorizationMachine:
-    """Learn from at most FIT_TOXIC toxic and FIT_CLEAN clean labelled rows."""
+    """Learn from at most FIT_TOXIC toxic and FIT_CLEAN clean labelled rows.
+
+    Terms are counted where they are; only signatures, the active terms and each
+    text's share of them come to the driver.
+    """
     sample = labelled(df, labels, label_col, {1: FIT_TOXIC, 0: FIT_CLEAN}, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = term_sets(words(one_array(batch.column(1))))
-            packed = pa.array([s.tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["label", "terms"])
-
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("terms", T.BinaryType())])
-    rows = sample.select("__label", "__text").mapInArrow(run, schema).collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    return FactorizationMachine.fit([np.frombuffer(bytes(r[1]), np.uint32) for r in rows], np.array([r[0] for r in rows]))
+            sets = [s for texts in slices(batch.column(1)) for s in term_sets(words(texts))]
+            lists = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([minima(s) for s in sets], pa.list_(pa.int64()))], ["label", "terms", "minima"])
+            tidy()
+
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("terms", longs), T.StructField("minima", longs)])
+    rows = cut(sample.select("__label", "__text").mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
+    seen = rows.select("row", "label", "minima").orderBy("label", "minima", "row").collect()
+    kept = [seen[k] for k in without_copies([r.minima for r in seen])]
+    toxic = sum(r.label for r in kept)
+    if not toxic or toxic == len(kept):
+        return FactorizationMachine.fit(np.zeros(0, np.uint32), [], np.array([r.label for r in kept], np.int64))
+    chosen = rows.join(F.broadcast(df.sparkSession.createDataFrame([(r.row,) for r in kept], "row long")), "row")
+    counts = chosen.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
+    counts = counts.filter(f"n >= 3 and n <= {COMMON * len(kept)}").withColumn("gain", divergence(F.col("a"), F.col("n"), toxic, len(kept) - toxic))
+    best = counts.filter(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(ACTIVE_TERMS)
+    active = np.sort(np.array([r.term for r in best.select("term").collect()], np.int64))
+    shares = chosen.select("row", "label", F.array_intersect("terms", F.lit(active.tolist()).cast("array<bigint>")).alias("own")).orderBy("row").collect()
+    return FactorizationMachine.fit(active.astype(np.uint32), [np.array(r.own, np.int64) for r in shares], np.array([r.label for r in shares], np.int64))
 
 
 def scored(model: FactorizationMachine, text: Column) -> Column:
@@ -227,8 +237,9 @@ def scored(model: FactorizationMachine, text: Column) -> Column:
 
     @F.arrow_udf(T.DoubleType())
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(model.score(words(one_array(texts))))
+        for batch in batches:
+            yield pa.array(np.concatenate([model.score(words(texts)) for texts in slices(batch)]))
+            tidy()
 
     return run.asNondeterministic()(text)
 
