@@ -17,6 +17,11 @@ def per_dim(value, dims: int) -> tuple:
     return tuple(value) if isinstance(value, (tuple, list)) else (value,) * dims
 
 
+def whole(a: Column, b: int) -> Column:
+    """Division of whole numbers without a detour over floating point."""
+    return F.call_function("div", a, F.lit(b))
+
+
 def local_range(part: int, parts: int, n: int, ghost: int = 0, periodic: bool = False) -> tuple[int, int]:
     """First and last coordinate of a block with its ghost layers; clamped unless periodic."""
     size, extra = divmod(n, parts)
@@ -42,10 +47,10 @@ def block_owner(coord: Column, parts: int, n: int) -> Column:
     """The block of a coordinate in 1..n."""
     size, extra = divmod(n, parts)
     small = (parts - extra) * size
-    late = F.floor((coord - small - 1) / (size + 1)) + (parts - extra) + 1
+    late = whole(coord - small - 1, size + 1) + (parts - extra) + 1
     if not small:
         return late.cast("int")
-    early = F.floor((coord - 1) / max(size, 1)) + 1
+    early = whole(coord - 1, max(size, 1)) + 1
     return F.when(coord <= small, early).otherwise(late).cast("int")
 
 
@@ -53,7 +58,7 @@ def coordinates(gid: Column, shape: tuple[int, ...]) -> list[Column]:
     """The coordinates of an id."""
     found, stride = [], 1
     for n in shape:
-        found.append(F.pmod(F.floor((gid - 1) / stride), F.lit(n)).cast("long") + 1)
+        found.append(F.pmod(whole(gid - 1, stride) if stride > 1 else gid - 1, F.lit(n)).cast("long") + 1)
         stride *= n
     return found
 

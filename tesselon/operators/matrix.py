@@ -57,6 +57,8 @@ class PSparseMatrix:
     rows: PRange
     cols: PRange
     assembled: bool = True
+    #: Contributions whose sum this is, where they are known: products with vectors need no assembly.
+    raw: DataFrame | None = None
 
     def __repr__(self) -> str:
         state = "" if self.assembled else " (not assembled)"
@@ -67,7 +69,7 @@ class PSparseMatrix:
         return self.rows.n, self.cols.n
 
     def _of(self, df: DataFrame) -> PSparseMatrix:
-        return replace(self, df=df)
+        return replace(self, df=df, raw=None)
 
     def cut(self) -> PSparseMatrix:
         return self._of(cut(self.df))
@@ -83,6 +85,10 @@ class PSparseMatrix:
     def triplets(self) -> DataFrame:
         return self.df if self.assembled else compress(self.df)
 
+    def contributions(self) -> DataFrame:
+        """(gi, gj, v), positions perhaps repeated: enough for what is linear in the entries."""
+        return self.raw if self.raw is not None else self.df
+
     def with_owners(self) -> DataFrame:
         """(part, gi, gj, v, row_owner, col_owner); the part of an assembled entry owns its row."""
         found = self.rows.find_owner(self.df, "gi", "row_owner")
@@ -192,13 +198,13 @@ class PSparseMatrix:
 
     @property
     def T(self) -> PSparseMatrix:  # noqa: N802
-        return PSparseMatrix(transpose(self.triplets()), self.cols, self.rows)
+        return PSparseMatrix(transpose(self.triplets()), self.cols, self.rows, raw=None if self.raw is None else transpose(self.raw))
 
     # -- products
 
     def __matmul__(self, other):
         if isinstance(other, PVector):
-            return from_gvec(multiply(self.triplets(), other.gvec()), self.rows)
+            return from_gvec(multiply(self.contributions(), other.gvec()), self.rows)
         return PSparseMatrix(multiply_all(self.triplets(), other.triplets()), self.rows, other.cols)
 
     def mul(self, x: PVector, alpha: float = 1.0, beta: float = 0.0, c: PVector | None = None) -> PVector:
@@ -246,7 +252,8 @@ def psparse(coo: DataFrame, rows: PRange, cols: PRange, assemble: bool = True, c
     if drop_offpart:
         coo = cols.find_owner(rows.find_owner(coo, "gi", "__r"), "gj", "__c").filter("__r = __c").drop("__r", "__c")
     if assemble:
-        return PSparseMatrix(compress(coo, combine=combine), rows, cols)
+        raw = coo.filter((F.col("gi") >= 1) & (F.col("gj") >= 1)).select("gi", "gj", "v") if combine == "+" else None
+        return PSparseMatrix(compress(coo, combine=combine), rows, cols, raw=raw)
     return PSparseMatrix(compress(coo, combine=combine, by=("part",)), rows, cols, assembled=False)
 
 

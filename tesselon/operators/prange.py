@@ -190,6 +190,16 @@ def uniform_partition(spark: SparkSession, parts, n, ghost=False, periodic=False
     if dims == 1:
         start, size = ids.block_start(place[0], grid[0], shape[0]), ids.block_size(place[0], grid[0], shape[0])
         blocks = parts_table(spark, count).select("part", start.cast("long").alias("start"), (start + size - 1).cast("long").alias("stop"))
+    if not any(layers):  # every id by itself, over as many tasks as the session likes
+        at = ids.coordinates(F.col("id"), shape)
+        owners = [ids.block_owner(c, p, m) for c, p, m in zip(at, grid, shape, strict=True)]
+        lid, stride = F.lit(1).cast("long"), F.lit(1).cast("long")
+        for c, o, p, m in zip(at, owners, grid, shape, strict=True):
+            lid, stride = lid + (c - ids.block_start(o, p, m)) * stride, stride * ids.block_size(o, p, m)
+        part, lid = ids.linear_id(owners, grid).cast("int"), lid.cast("int")
+        every = spark.range(1, ids.total(shape) + 1)
+        index = every.select(part.alias("part"), lid.alias("lid"), F.col("id").alias("gid"), part.alias("owner"), lid.alias("own_id"), F.lit(0).alias("ghost_id"))
+        return PRange(index, ids.total(shape), count, owner_of, blocks=blocks)
     out = parts_table(spark, count)
     lid, stride, coords, own = F.lit(1).cast("long"), F.lit(1).cast("long"), [], F.lit(True)
     for d in range(dims):
@@ -205,11 +215,7 @@ def uniform_partition(spark: SparkSession, parts, n, ghost=False, periodic=False
         coords.append(ids.wrapped(c, shape[d]) if around[d] else c)
     local = out.select("part", lid.alias("lid"), ids.linear_id(coords, shape).alias("gid"), own.alias("own"))
     local = local.withColumn("owner", owner_of(F.col("gid")))
-    if not any(layers):
-        index = local.select("part", F.col("lid").cast("int").alias("lid"), "gid", "owner", F.col("lid").cast("int").alias("own_id"), F.lit(0).alias("ghost_id"))
-    else:
-        index = numbered(local)
-    return PRange(index, ids.total(shape), count, owner_of, blocks=blocks)
+    return PRange(numbered(local), ids.total(shape), count, owner_of, blocks=blocks)
 
 
 def variable_partition(spark: SparkSession, sizes: list[int], ghost: bool = False, periodic: bool = False) -> PRange:
@@ -252,5 +258,5 @@ def node_to_dof_partition(nodes: PRange, per_node: int) -> PRange:
     own = ((F.col("own_id") - 1) * per_node + F.col("c")).cast("int")
     index = wide.select("part", own.alias("lid"), ((F.col("gid") - 1) * per_node + F.col("c")).cast("long").alias("gid"), "owner", own.alias("own_id"), F.lit(0).alias("ghost_id"))
     owner = nodes.owner_of
-    of = None if owner is None else lambda gid: F.when(gid < 1, F.lit(0)).otherwise(owner((F.floor((gid - 1) / per_node) + 1).cast("long"))).cast("int")
+    of = None if owner is None else lambda gid: F.when(gid < 1, F.lit(0)).otherwise(owner(ids.whole(gid - 1, per_node) + 1)).cast("int")
     return PRange(index, nodes.n * per_node, nodes.parts, of)

@@ -159,7 +159,7 @@ for _order, _a, _b in (("row", "gi", "gj"), ("col", "gj", "gi")):
 
 @query("spmv", f"SELECT gi AS gid, sum(a.v * x.v) AS v FROM ({MAT}) a JOIN ({X}) x ON a.gj = x.gid GROUP BY gi")
 def spmv(spark, sf):
-    return multiply(matrix(spark, sf).df, balances(spark, sf).gvec())
+    return multiply(matrix(spark, sf).contributions(), balances(spark, sf).gvec())
 
 
 DENSE = f"SELECT o_orderkey + 1 AS gid, coalesce(y.v, 0) AS v FROM orders LEFT JOIN ({SQL['spmv']}) y ON y.gid = o_orderkey + 1"
