@@ -144,7 +144,7 @@ class PSparseMatrix:
     def nonzeros(self, order: str = "row") -> DataFrame:
         """Entries with their place k in row-major or column-major order within each row or column."""
         a, b = ("gi", "gj") if order == "row" else ("gj", "gi")
-        return self.triplets().withColumn("k", F.row_number().over(Window.partitionBy(a).orderBy(b)))
+        return self.triplets().withColumn("k", F.row_number().over(Window.partitionBy(a).orderBy(b)).cast("long"))
 
     def nzindex(self, wanted: DataFrame, order: str = "row") -> DataFrame:
         """(gi, gj, k): the place of each wanted position among its row's (or column's) entries; 0 where nothing is stored."""

@@ -129,7 +129,7 @@ def psparse_refill(spark, sf):
     return refill(rows.select("part", "k", "gi", "gj"), rows.select("part", "k", (F.col("v") * 2).alias("v")))
 
 
-@query("psystem", f"SELECT a.gi AS gid, a.v AS row_sum, b.v AS rhs FROM (SELECT gi, sum(v) AS v FROM ({COO}) GROUP BY gi) a JOIN (SELECT l_orderkey + 1 AS gi, sum(l_linenumber) AS v FROM lineitem GROUP BY 1) b USING (gi)")
+@query("psystem", f"SELECT a.gi AS gid, a.v AS row_sum, b.v AS rhs FROM (SELECT gi, sum(v) AS v FROM ({COO}) GROUP BY gi) a JOIN (SELECT l_orderkey + 1 AS gi, CAST(sum(l_linenumber) AS DOUBLE) AS v FROM lineitem GROUP BY 1) b USING (gi)")
 def q_psystem(spark, sf):
     entries = read(spark, sf, "lineitem").select(F.lit(1).alias("part"), (F.col("l_orderkey") + 1).alias("gid"), F.col("l_linenumber").cast("double").alias("v"))
     a, b = psystem(triplets(spark, sf), entries, orders(spark, sf), suppliers(spark, sf))
@@ -190,7 +190,7 @@ def by_nation(spark, sf) -> PSparseMatrix:
     return psparse(p, suppliers(spark, sf), uniform_partition(spark, PARTS, read(spark, sf, "nation").count()))
 
 
-@query("spmm", f"SELECT gi, s_nationkey + 1 AS gj, sum(v) AS v FROM ({MAT}) JOIN supplier ON s_suppkey + 1 = gj GROUP BY 1, 2")
+@query("spmm", f"SELECT gi, CAST(s_nationkey + 1 AS BIGINT) AS gj, sum(v) AS v FROM ({MAT}) JOIN supplier ON s_suppkey + 1 = gj GROUP BY 1, 2")
 def spmm(spark, sf):
     return (matrix(spark, sf) @ by_nation(spark, sf)).df.select("gi", F.col("gj").cast("long").alias("gj"), "v")
 
@@ -811,7 +811,7 @@ def gallery_hpcg27(spark, sf):
     return coo.select("gi", "gj", "v")
 
 
-@query("gallery_hpcg_rhs", f"SELECT gi AS gid, sum(v) AS v, 27.0 - count(*) AS b FROM ({_HPCG}) GROUP BY gi")
+@query("gallery_hpcg_rhs", f"SELECT gi AS gid, sum(v) AS v, 27.0::DOUBLE - count(*) AS b FROM ({_HPCG}) GROUP BY gi")
 def gallery_hpcg_rhs(spark, sf):
     coo, b, rows = gallery.hpcg_stencil(spark, (8, 8, 8), (2, 2, 1))
     a = psparse(coo, rows, rows)
