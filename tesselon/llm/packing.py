@@ -25,7 +25,7 @@ from .words import SLICE, slices, tidy
 
 CAPACITY = 4096
 #: Tokens that are packed together.
-WINDOW = 4_000_000
+WINDOW = 2_000_000
 #: Room for the sequence numbers of one task.
 TASK_BITS = 40
 

@@ -30,6 +30,8 @@ from .words import Words, slices, tidy, unique_per_text, words
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 ACTIVE_TERMS = 1024
 FACTORS = 4
+#: Labelled texts whose terms are handed over at once.
+FIT_SLICE = 200
 THRESHOLD = 0.7
 #: The least statistic of an active term; 18 is passed by chance once in 45,000 terms.
 LEAST_GAIN = 18.0
@@ -210,13 +212,15 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for texts in slices(batch.column(1)) for s in term_sets(words(texts))]
-            lists = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array([minima(s) for s in sets], pa.list_(pa.int64()))], ["label", "terms", "minima"])
+            for k, texts in enumerate(slices(batch.column(1), FIT_SLICE)):
+                sets = term_sets(words(texts))
+                lists = pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))
+                lows = pa.array([minima(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k * FIT_SLICE, FIT_SLICE), lists, lows], ["label", "terms", "minima"])
             tidy()
 
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("terms", longs), T.StructField("minima", longs)])
+    fields = [T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("minima", T.ArrayType(T.LongType()))]
+    schema = T.StructType(fields)
     rows = cut(sample.select("__label", "__text").mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
     seen = rows.select("row", "label", "minima").orderBy("label", "minima", "row").collect()
     kept = [seen[k] for k in without_copies([r.minima for r in seen])]
@@ -227,9 +231,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     counts = chosen.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
     counts = counts.filter(f"n >= 3 and n <= {COMMON * len(kept)}").withColumn("gain", divergence(F.col("a"), F.col("n"), toxic, len(kept) - toxic))
     best = counts.filter(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(ACTIVE_TERMS)
-    active = np.sort(np.array([r.term for r in best.select("term").collect()], np.int64))
-    shares = chosen.select("row", "label", F.array_intersect("terms", F.lit(active.tolist()).cast("array<bigint>")).alias("own")).orderBy("row").collect()
-    return FactorizationMachine.fit(active.astype(np.uint32), [np.array(r.own, np.int64) for r in shares], np.array([r.label for r in shares], np.int64))
+    found = [r.term for r in best.select("term").collect()]  # at most ACTIVE_TERMS
+    shares = chosen.select("row", "label", F.array_intersect("terms", F.lit(found).cast("array<int>")).alias("own")).orderBy("row").collect()
+    unsigned = lambda terms: np.array(terms, np.int32).view(np.uint32)
+    return FactorizationMachine.fit(np.sort(unsigned(found)), [unsigned(r.own) for r in shares], np.array([r.label for r in shares], np.int64))
 
 
 def scored(model: FactorizationMachine, text: Column) -> Column:
