@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .tokens import codec, with_end
-from .words import SLICE, slices, tidy
+from .words import slices, tidy
 
 CAPACITY = 4096
 #: Tokens that are packed together.
 WINDOW = 2_000_000
+#: Texts that are encoded together; more share more words.
+ENCODED = 4000
 #: Room for the sequence numbers of one task.
 TASK_BITS = 40
 
@@ -94,7 +96,7 @@ def windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
         lengths = np.concatenate([h[2] for h in held])
         return names, np.concatenate([h[1] for h in held]), np.concatenate(([0], np.cumsum(lengths)))
 
-    encoded = ((batch.column(0).slice(k * SLICE, SLICE), with_end(*encode(texts), end_id)) for batch in batches for k, texts in enumerate(slices(batch.column(1))))
+    encoded = ((batch.column(0).slice(k * ENCODED, ENCODED), with_end(*encode(texts), end_id)) for batch in batches for k, texts in enumerate(slices(batch.column(1), ENCODED)))
     for own, (ids, starts) in encoded:
         at, n = 0, len(own)
         while at < n:

@@ -12,8 +12,8 @@ import pyarrow as pa
 
 from .words import words
 
-#: Pieces whose ids a worker remembers, at most.
-REMEMBERED = 200_000
+#: Pieces whose ids a worker remembers, at most; the first ones, among which the frequent ones are.
+REMEMBERED = 400_000
 #: Characters for which lower case, classes and composition are settled.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: How a word-end tokenizer cuts a lower-cased plain word (fixed by its file).
@@ -69,14 +69,15 @@ class Codec:
         plain = (chr(c) for c in range(0x21, 0x100) if PLAIN.fullmatch(chr(c)))
         self.letters = {ord(c): "".join(letters[b] for b in c.encode()) for c in plain}
         self.pieces: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            tokens = self.tokenizer.model.tokenize(piece.translate(self.letters))
-            found = self.pieces[piece] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+            found = b"".join([self.packed[t.id] for t in self.model.tokenize(piece.translate(self.letters))])
+            if len(self.pieces) < REMEMBERED:
+                self.pieces[piece] = found
         return found
 
     def _whole(self, texts: list[str]) -> list[bytes]:
