@@ -364,7 +364,8 @@ def links_of(df: DataFrame, id_col: str, text_col: str, docs: DataFrame, blocks:
     sizes = found.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     big = sizes.filter((F.col("docs") > CHUNK_DOCS) | (F.col("shingles") > CHUNK_SHINGLES))
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
-    placed = found.join(big.select("block", chunks.alias("chunks")), "block", "left")
+    big = cut(big.select("block", chunks.alias("chunks")))
+    placed = found.join(F.broadcast(big) if big.count() <= BROADCAST_ROWS else big, "block", "left")
     total = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     bundle = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-total // BUNDLE_SHINGLES))))
     small = placed.filter("chunks is null").select("rep", "block", "node", bundle.alias("tile"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"))
