@@ -27,7 +27,7 @@ CAPACITY = 4096
 #: Tokens that are packed together.
 WINDOW = 2_000_000
 #: Texts that are encoded together; more share more words.
-ENCODED = 4000
+ENCODED = 1500
 #: Room for the sequence numbers of one task.
 TASK_BITS = 40
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from .words import words
 
 #: Pieces whose ids a worker remembers, at most; the first ones, among which the frequent ones are.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Characters for which lower case, classes and composition are settled.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: How a word-end tokenizer cuts a lower-cased plain word (fixed by its file).
