@@ -184,14 +184,19 @@ def tiles_of(df: DataFrame, text_col: str, like: Likeness) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(node[text[use]].view(np.int64))], ["key", "node"])
             tidy()
 
-    rows = df.select(F.col(f"`{text_col}`")).mapInArrow(run, "key long, node long")
+    return shared_tiles(df.select(F.col(f"`{text_col}`")).mapInArrow(run, "key long, node long"))
+
+
+def shared_tiles(rows: DataFrame) -> DataFrame:
+    """(tile, nodes, node) of the keys (key, node) that several nodes have; keys with the same nodes are one tile."""
     # Equal sets of other batches repeat rows, so a node counts where it comes first.
     new = F.coalesce(F.lag("node").over(Window.partitionBy("key").orderBy("node")) != F.col("node"), F.lit(True))
     whole = Window.partitionBy("key")
     rows = rows.withColumn("new", new).withColumn("nodes", F.sum(F.col("new").cast("long")).over(whole))
-    mark = F.when(F.col("new"), F.shiftright(F.xxhash64("node"), 8))
-    rows = rows.withColumn("mark", F.sum(mark).over(whole)).filter("nodes > 1 and new")
-    return rows.select(F.xxhash64("nodes", "mark").alias("tile"), "nodes", "node").distinct()
+    # An exclusive or can't overflow, however many nodes there are.
+    one, two = (F.bit_xor(F.when(F.col("new"), F.xxhash64("node", F.lit(k)))).over(whole) for k in (1, 2))
+    rows = rows.withColumn("one", one).withColumn("two", two).filter("nodes > 1 and new")
+    return rows.select(F.xxhash64("nodes", "one", "two").alias("tile"), "nodes", "node").distinct()
 
 
 def edges_of(df: DataFrame, text_col: str, docs: DataFrame, like: Likeness) -> DataFrame:

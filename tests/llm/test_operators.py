@@ -376,6 +376,15 @@ def test_jaccard_edges(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id) == [1, 2, 3, 4, 4, 6]
 
 
+def test_tiles_of_a_million_nodes(spark):
+    n = 1_000_000
+    keys = F.expr("explode(if(id < 3, array(1L, 2L, 3L), array(1L, 2L)))")
+    keyed = spark.range(n).select(keys.alias("key"), F.xxhash64("id").alias("node"))
+    keyed = keyed.unionAll(keyed.filter("key = 1 and node % 7 = 0"))
+    found = jaccard.shared_tiles(keyed).groupBy("tile", "nodes").count().collect()
+    assert sorted((r.nodes, r["count"]) for r in found) == [(3, 3), (n, n)]
+
+
 def test_bounds_hold():
     like = Likeness(3, 90, 100)
     assert like.bands[:10].tolist() == [1, 2, 3, 4, 5, 6, 7, 8, 9, 11]
