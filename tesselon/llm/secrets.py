@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, then guess costs of values in credential contexts.
 
 The fixed patterns find assignments, access keys and long hexadecimal runs. A
-value that a credential word introduces is then segmented at least cost into
+value behind an identifier that holds a credential word is then segmented at least cost into
 dictionary words, dates, repeats, keyboard walks and brute-force spans; the cost
 is how many guesses, as a power of ten, a cracker who knows such parts would
 need. Values that cost enough are spans of kind ``guess``.
@@ -27,10 +27,15 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS, HEX = re.compile(rb"AKIA[A-Z0-9]+"), re.compile(rb"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: What may introduce a credential, and the value behind it.
-CONTEXT = re.compile(
-    rb"""(?i:\b(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|api_?key|apikey|credentials?|auth|login|pin|private_?key))["']?\x20*(?:[:=]|is\b|->|=>)\x20*["']?([^\s"'<>,;]{4,})"""
-)
+WORDS = rb"(?i:password|passwd|passphrase|passcode|pwd|pass|secret|token|api_?key|credentials?|auth|login|pin|private_?key)"
+#: An identifier with a credential word anywhere in it, taken whole, so each is searched once.
+NAME = rb"(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]*?" + WORDS + rb")[A-Za-z0-9_]++"
+#: What may introduce a credential, and the value behind it, which isn't an assignment of its own.
+CONTEXT = re.compile(rb"(" + NAME + rb""")["']?\x20*(?:[:=]|is\b|->|=>)\x20*["']?(?!""" + NAME + rb"""["']?[:=]["']?[^\s"'<>,;]{4})([^\s"'<>,;]{4,})""")
+#: A credential word that is a part of its own in an identifier: DB_PASSWORD, userPassword.
+OWN = re.compile(rb"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))" + WORDS + rb"(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))")
+#: What words of prose are made of; the guess cost doesn't know most of them.
+PROSE = re.compile(rb"[A-Za-z.'\x80-\xff-]+")
 #: Any text without a match of this has no span (RE2 syntax).
 ANY = r"""(?i)(pass|pwd|secret|token|api_?key|credential|auth|login|pin|private_?key)|(?-i:AKIA[A-Z0-9]{16})|(?-i:[0-9a-f]{24})"""
 
@@ -122,9 +127,12 @@ def scan(data: bytes, guess_from: float = GUESS_FROM) -> list[Span]:
         least = LEAST[kind]
         found.extend((m.start(), m.end(), kind) for m in pattern.finditer(data) if m.end() - m.start() >= least)
     for m in CONTEXT.finditer(data):
-        value = m.group(1).rstrip(b".!?)]}:")
+        value = m.group(2).rstrip(b".!?)]}:")
+        # In author or opinion the credential word is chance, so prose behind it says nothing.
+        if PROSE.fullmatch(value) and not OWN.search(m.group(1)):
+            continue
         if len(value) >= 4 and guess_cost(value.decode("utf-8", "replace")) >= guess_from:
-            found.append((m.start(1), m.start(1) + len(value), "guess"))
+            found.append((m.start(2), m.start(2) + len(value), "guess"))
     found.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return found
 

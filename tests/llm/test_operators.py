@@ -283,6 +283,28 @@ def test_secrets(spark, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("DB_PASSWORD=Xk9#vQ2!mZ7p", "Xk9#vQ2!mZ7p"),
+        ("userPassword: Xk9#vQ2!mZ7p", "Xk9#vQ2!mZ7p"),
+        ("client_secret: 'Q!9z$Lk2#v'", "Q!9z$Lk2#v"),
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEX", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEX"),
+        ("dbpass=Xk9#vQ2!mZ7p", "Xk9#vQ2!mZ7p"),
+        ("author: DB_PASSWORD=Xk9#vQ2!mZ7p", "Xk9#vQ2!mZ7p"),
+        ("author: Shakespeare, opinion is important, shopping: groceries", None),
+    ],
+)
+def test_credential_words_in_identifiers(text, value):
+    found = [text.encode()[a:b].decode() for a, b, kind in secrets.scan(text.encode()) if kind == "guess"]
+    assert found == ([] if value is None else [value])
+
+
+def test_contexts_take_linear_time():
+    for text in ("pass" * 50_000, "pass:" * 50_000, "a" * 200_000 + "pass", "pass=" + "pass " * 50_000):
+        secrets.scan(text.encode())
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("password") < cost("Password") < cost("p@ssword1") < cost("Xk9#vQ2!mZ7p")
