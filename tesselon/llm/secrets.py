@@ -2,7 +2,7 @@
 
 The fixed patterns find assignments, access keys and long hexadecimal runs. A
 value behind an identifier that holds a credential word is then segmented at least cost into
-dictionary words, dates, repeats, keyboard walks and brute-force spans; the cost
+dictionary words, dates, repeats, keyboard walks, copies and brute-force spans; the cost
 is how many guesses, as a power of ten, a cracker who knows such parts would
 need. Values that cost enough are spans of kind ``guess``.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import log10
 
 import numpy as np
@@ -52,22 +52,25 @@ COMMON = (
     "internet michael jordan thomas george charlie andrew daniel jessica jennifer ashley"
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
+#: Slanted columns of the keyboard, both ways.
+COLUMNS = ("1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik,", "9ol.", "0p;/", "zse4", "xdr5", "cft6", "vgy7", "bhu8", "nji9", "mko0", ",lp-", ".;[=")
 LEET = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "i", "0": "o", "5": "s", "$": "s", "7": "t"})
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 LONGEST_WORD = max(map(len, COMMON))
 LONGEST_DATE = 10
+LONGEST_BLOCK = 32
 
 
-def _neighbours() -> dict[str, set[str]]:
+def _neighbours(rows: tuple[str, ...]) -> dict[str, set[str]]:
     found: dict[str, set[str]] = {}
-    for row in ROWS:
+    for row in rows:
         for a, b in zip(row, row[1:], strict=False):
             found.setdefault(a, set()).add(b)
             found.setdefault(b, set()).add(a)
     return found
 
 
-NEXT = _neighbours()
+NEXT, BELOW = _neighbours(ROWS), _neighbours(COLUMNS)
 RANK = {w: k + 1 for k, w in reversed([*enumerate(COMMON)])}
 
 
@@ -78,39 +81,83 @@ def _alphabet(c: str) -> float:
     return 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 100
 
 
+def _useful(begins: list[int], cost: Callable[[int], float], latest: int) -> float:
+    """The least cost of the begins up to ``latest``; those above an earlier one's cost go."""
+    least, kept = float("inf"), []
+    for a in begins:
+        if a > latest:
+            kept.append(a)
+        elif (own := cost(a)) < least:
+            least = own
+            kept.append(a)
+    begins[:] = kept
+    return least
+
+
 def guess_cost(value: str) -> float:
     """The least cost of ``value`` in powers of ten, over all segmentations.
 
     A brute-force character costs its alphabet; a word its rank, case pattern and
-    digits for letters; a date ten thousand days; a repeat or a walk its first
-    character, its kind and its length. Each further part costs a little, so that
-    fewer parts are preferred. The time is proportional to the length.
+    digits for letters; a date ten thousand days; a walk along a row or column its
+    first character, its kind and its length; more copies of the last characters
+    (up to LONGEST_BLOCK; a single one twice at least) the block's length and their
+    number. Each further part costs a little, so that fewer parts are preferred.
+
+    A run is tried from its begin and from where another kind of part ends in it.
+    Other begins are never cheaper: two parts of one run cost more than one, and so
+    does a character before the run that belongs to it. Of two begins the earlier
+    one gains as the run grows, so a later one that isn't cheaper now is given up.
     """
     n = len(value)
     lower = value.lower()
     plain = lower.translate(LEET)
     best = [0.0] + [float("inf")] * n
-    repeat = walk = 0
+    ended: list[object] = [None] * (n + 1)  # the kind of the last part
+    begins: list[list[int]] = [[], []]
+    copied = [0] * (LONGEST_BLOCK + 1)  # how many characters are those a block before
+    bases: dict[tuple[int, int], list[int]] = {}
     for k in range(1, n + 1):
         c = value[k - 1]
-        cost = best[k - 1] + log10(_alphabet(c))
-        repeat = repeat + 1 if k > 1 and value[k - 2] == c else 1
-        walk = walk + 1 if k > 1 and lower[k - 1] in NEXT.get(lower[k - 2], ()) else 1
-        for run, kind in ((repeat, 0.5), (walk, 1.0)):
-            if run >= 3:
-                a = k - run
-                cost = min(cost, best[a] + log10(_alphabet(value[a])) + kind + log10(run) + 0.3)
+        cost, kind = best[k - 1] + log10(_alphabet(c)), None
+        before = lower[k - 2] if k > 1 else ""
+        for run, near in enumerate((NEXT, BELOW)):
+            if lower[k - 1] not in near.get(before, ()):
+                begins[run] = [k - 1]
+            elif ended[k - 1] not in (None, run):
+                begins[run].append(k - 1)
+            own = _useful(begins[run], lambda a, k=k: best[a] + log10(_alphabet(value[a])) + 1.0 + log10(k - a) + 0.3, k - 3)
+            if own < cost:
+                cost, kind = own, run
+        periods: list[int] = []
+        for size in range(1, min(LONGEST_BLOCK, k - 1) + 1):
+            if value[k - 1 - size] != c:
+                if copied[size]:
+                    copied[size] = 0
+                    for place in range(size):
+                        bases.pop((size, place), None)
+                continue
+            copied[size] += 1
+            if copied[size] < size or any(size % p == 0 and copied[p] - copied[size] >= size - p for p in periods):
+                continue  # copies of a shorter block cost less
+            periods.append(size)
+            known = bases.setdefault((size, k % size), [])
+            if not known or ended[k - size] != -size:
+                known.append(k - size)
+            own = _useful(known, lambda a, k=k, size=size: best[a] + log10(size) + 0.5 + log10((k - a) // size + 1) + 0.3, k - max(size, 2))
+            if own < cost:
+                cost, kind = own, -size
         for size in range(3, min(LONGEST_WORD, k) + 1):
             rank = RANK.get(plain[k - size : k])
             if rank:
                 part = value[k - size : k]
                 turned = 0.0 if part.islower() or not part.isalpha() else 0.3 if part.istitle() or part.isupper() else 1.0
                 swapped = 0.0 if lower[k - size : k] == plain[k - size : k] else 0.5
-                cost = min(cost, best[k - size] + log10(rank + 1) + turned + swapped + 0.3)
+                if (own := best[k - size] + log10(rank + 1) + turned + swapped + 0.3) < cost:
+                    cost, kind = own, "word"
         for size in range(4, min(LONGEST_DATE, k) + 1):
-            if value[k - 1].isdigit() and DATE.fullmatch(value, k - size, k):
-                cost = min(cost, best[k - size] + 4.0 + 0.3)
-        best[k] = cost
+            if value[k - 1].isdigit() and DATE.fullmatch(value, k - size, k) and (own := best[k - size] + 4.0 + 0.3) < cost:
+                cost, kind = own, "date"
+        best[k], ended[k] = cost, kind
     return best[n]
 
 

@@ -312,6 +312,46 @@ def test_guess_costs():
     assert cost("x" * 100_000) < 8 and cost("") == 0
 
 
+def every_segmentation(value):
+    """The cost by trying every part, copies in any number included."""
+    low, plain = value.lower(), value.lower().translate(secrets.LEET)
+    walks = [lambda i: low[i] in secrets.NEXT.get(low[i - 1], ()), lambda i: low[i] in secrets.BELOW.get(low[i - 1], ())]
+    size_of = lambda i: np.log10(secrets._alphabet(value[i]))
+    best = [0.0]
+    for k in range(1, len(value) + 1):
+        costs = [best[k - 1] + size_of(k - 1)]
+        for a in range(k - 2):
+            part = value[a:k]
+            costs += [best[a] + size_of(a) + 1.0 + np.log10(k - a) + 0.3 for w in walks if all(w(i) for i in range(a + 1, k))]
+            if rank := secrets.RANK.get(plain[a:k]):
+                turned = 0.0 if part.islower() or not part.isalpha() else 0.3 if part.istitle() or part.isupper() else 1.0
+                costs.append(best[a] + np.log10(rank + 1) + turned + 0.5 * (low[a:k] != plain[a:k]) + 0.3)
+            if secrets.DATE.fullmatch(part):
+                costs.append(best[a] + 4.3)
+        for p in range(1, min(secrets.LONGEST_BLOCK, k // 2) + 1):
+            for a in range(k - p, p - 1, -p):
+                if value[a:k] != value[a - p : a] * ((k - a) // p):
+                    break
+                if p == 1 and k - a == 1:
+                    continue
+                costs.append(best[a] + np.log10(p) + 0.8 + np.log10((k - a) // p + 1))
+        best.append(min(costs))
+    return best[-1]
+
+
+def test_guess_cost_is_the_least():
+    cost = secrets.guess_cost
+    assert abs(cost("passwordefghij") - 4.09) < 0.01 and max(map(cost, ("1qaz2wsx", "abcxabcxabcx", "zse4xdr5", "Xk9Xk9Xk9Xk9"))) < 8
+    assert min(map(cost, ("Xk9#vQ2!mZ7p", "Q!9z$Lk2#v"))) > 8
+    rng = np.random.default_rng(3)
+    parts = ["password", "test", "love", "efgh", "rty", "1qaz", "aaa", "111", "2019", "0504", "ab", "x", "Q", "#", "7"]
+    for n in range(300):
+        value = "".join(rng.choice(parts[: 3 + n % 13], rng.integers(1, 7))) * int(rng.integers(1, 4))
+        assert cost(value) == pytest.approx(every_segmentation(value)), value
+    for value in ("ab" * 5_000, "password1" * 500, "aab" * 2_000):
+        assert cost(value) < 12
+
+
 # -- chat
 
 
