@@ -35,7 +35,7 @@ FIT_SLICE = 200
 THRESHOLD = 0.7
 #: The least statistic of an active term; 18 is passed by chance once in 45,000 terms.
 LEAST_GAIN = 18.0
-#: A term in more than this share of the labelled texts says nothing.
+#: A term in more than this share of the clean texts, and of all labelled ones, says nothing.
 COMMON = 0.2
 #: Minima of a text's terms, how many make a band, and how many near copies share.
 MINIMA, BAND, ALIKE = 16, 4, 10
@@ -229,7 +229,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         return FactorizationMachine.fit(np.zeros(0, np.uint32), [], np.array([r.label for r in kept], np.int64))
     chosen = rows.join(F.broadcast(df.sparkSession.createDataFrame([(r.row,) for r in kept], "row long")), "row")
     counts = chosen.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    counts = counts.filter(f"n >= 3 and n <= {COMMON * len(kept)}").withColumn("gain", divergence(F.col("a"), F.col("n"), toxic, len(kept) - toxic))
+    common = f"n > {COMMON * len(kept)} and n - a > {COMMON * (len(kept) - toxic)}"
+    counts = counts.filter(f"n >= 3 and not ({common})").withColumn("gain", divergence(F.col("a"), F.col("n"), toxic, len(kept) - toxic))
     best = counts.filter(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(ACTIVE_TERMS)
     found = [r.term for r in best.select("term").collect()]  # at most ACTIVE_TERMS
     shares = chosen.select("row", "label", F.array_intersect("terms", F.lit(found).cast("array<int>")).alias("own")).orderBy("row").collect()

@@ -200,6 +200,15 @@ def test_toxicity(spark, odd, labels, none):
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.filter("false")).filter("toxicity.predicted = 1").isEmpty()
 
 
+def test_a_marker_of_all_toxic_rows_counts(spark):
+    rng = np.random.default_rng(6)
+    own = [(k, int(k % 3 == 0)) for k in range(600)]
+    texts = [(k, " ".join([*(f"word{w}" for w in rng.integers(0, 3000, 12)), *["grobian"] * t])) for k, t in own]
+    model = toxicity.fit(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(own, "doc_id long, toxic int"))
+    score = model.score(words(pa.array(["you grobian there", "nothing of that"])))
+    assert score[0] > toxicity.THRESHOLD > score[1]
+
+
 def test_machine_learns_pairs():
     rng = np.random.default_rng(0)
     active = np.array([1, 2, 3, 4], np.uint32)
