@@ -122,7 +122,8 @@ def mix(
 
     rows = df.select("*", *named).join(small(limits), leaf)
     rows = rows.withColumn("__order", order_key(ident, seed, F.col("__whole"))).withColumn("__step", step)
-    taken = (F.col("__step") < F.col("__edge")) | ((F.col("__step") == F.col("__edge")) & (F.col("__order") <= F.col("__last")))
+    # Where no step exceeds the rest (a leaf without tokens), all of it is the prefix.
+    taken = F.col("__edge").isNull() | (F.col("__step") < F.col("__edge")) | ((F.col("__step") == F.col("__edge")) & (F.col("__order") <= F.col("__last")))
     epochs = F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("long")
     rows = rows.withColumn("__epochs", epochs).filter("__epochs > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__epochs") - 1)))
     mixed = F.struct(F.col("__epoch").alias("epoch"), *[F.col(f"__{n}").alias(n) for n in LEVELS], F.col("__tokens").alias("tokens"))

@@ -100,6 +100,13 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd, F.lit("d"), F.col("lang"), F.col("source"), {}, 1.0).count() == odd.count()
 
 
+def test_leaf_of_empty_texts_is_taken(spark):
+    df = spark.createDataFrame([(k, t, "en", s) for k, (t, s) in enumerate([("", "a"), (None, "a"), ("", "a"), ("abcd" * 9, "b"), ("abcd" * 9, "b")])], "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(df, F.lit("d"), F.col("lang"), F.col("source"), {}, 0.5, 2)
+    assert sorted((r.doc_id, r.mix.epoch) for r in mixed.filter("source = 'a'").collect()) == [(0, 0), (1, 0), (2, 0)]
+    assert mixed.filter("source = 'b'").count() == 1
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = [("d1", "en", "s1", 1, 10), ("d1", "en", "s2", 1, 100), ("d1", "fr", "s1", 1, 100), ("d2", "en", "s1", 1, 50)]
     df = spark.createDataFrame(leaves, "domain string, language string, source string, rows long, tokens long")
