@@ -41,19 +41,15 @@ leaves AS (SELECT domain, language, source, CAST(sum(tokens) AS BIGINT) AS token
 {_share("d", f"SELECT domain, 1 AS root, sum(supply) AS supply, 0.6::DOUBLE * CAST(sum(sum(tokens)) OVER () AS DOUBLE) AS pool, ({_WEIGHT['domain']})::DOUBLE AS weight FROM leaves GROUP BY domain", "root", "domain")},
 {_share("l", f"SELECT domain, language, sum(leaves.supply) AS supply, any_value(d.budget) AS pool, ({_WEIGHT['language']})::DOUBLE AS weight FROM leaves JOIN d USING (domain) GROUP BY domain, language", "domain", "domain, language")},
 {_share("s", f"SELECT domain, language, source, tokens, leaves.supply, l.budget AS pool, ({_WEIGHT['source']})::DOUBLE AS weight FROM leaves JOIN l USING (domain, language)", "domain, language", "domain, language, source")},
-plan AS (
-  SELECT domain, language, source, CAST(floor(budget) AS BIGINT) AS take,
-         CASE WHEN tokens > 0 THEN least(CAST(floor(budget) AS BIGINT) // tokens, 2) ELSE 0 END AS whole, tokens AS leaf_tokens
-  FROM s),
-placed AS (
-  SELECT docs.*, whole, take - whole * leaf_tokens AS rest,
-         md5('7:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
-  FROM docs JOIN plan USING (domain, language, source)),
-prefix AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
-  FROM placed)
-SELECT doc_id, CAST(unnest(range(0, whole + CASE WHEN cum <= rest THEN 1 ELSE 0 END)) AS BIGINT) AS epoch, domain, language, source, tokens
-FROM prefix
+plan AS (SELECT domain, language, source, CAST(floor(budget) AS BIGINT) AS take, tokens AS leaf_tokens FROM s),
+passes AS (
+  SELECT docs.*, epoch, take, leaf_tokens, md5('7:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place
+  FROM docs JOIN plan USING (domain, language, source), range(0, 2) AS passed(epoch)),
+upto AS (
+  SELECT *, epoch * leaf_tokens + sum(tokens) OVER (PARTITION BY domain, language, source, epoch ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS spent
+  FROM passes)
+SELECT doc_id, epoch, domain, language, source, tokens
+FROM upto WHERE spent <= take AND (epoch = 0 OR leaf_tokens > 0)
 """
 
 OP9 = r"""

@@ -107,6 +107,37 @@ def test_leaf_of_empty_texts_is_taken(spark):
     assert mixed.filter("source = 'b'").count() == 1
 
 
+@pytest.mark.parametrize(("share", "epochs"), [(1.0, 1), (0.5, 1), (0.8, 2), (2.0, 2)])
+def test_rows_without_tokens(spark, share, epochs):
+    texts = ["abcd" * 9] * 20 + [""] * 40
+    df = spark.createDataFrame([(k, t, "en", "ab"[k % 2]) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix(df, F.lit("d"), F.col("lang"), F.col("source"), {}, share, epochs).select("doc_id", "mix.*").collect()
+    times = Counter((r.doc_id, r.epoch) for r in mixed)
+    assert max(times.values()) == 1 and {r.epoch for r in mixed} <= set(range(epochs))
+    taken = sum(r.tokens for r in mixed)
+    assert taken <= share * 20 * 9 and taken >= min(share, epochs) * 20 * 9 - 18
+    if share >= epochs:
+        assert len(mixed) == 60 * epochs
+
+
+def test_mixing_is_its_sql_on_empty_texts(spark, tmp_path):
+    """The registered query and its SQL on a table with leaves of empty texts and rows without tokens."""
+    import duckdb
+
+    from tesselon.llm.oracle import SQL
+    from tesselon.llm.queries import op6_mixing
+
+    sizes = [0, 0, 3, 8, 0, 17]
+    docs = [(k, "x" * sizes[k % 6] if k % 7 else None, ["en", "de", "fr", None][k % 4], ["src00", "src10", "src11", None][k // 7 % 4]) for k in range(400)]
+    docs += [(1000 + k, "", "it", "src20") for k in range(9)] + [(3, "y" * 9, "en", "src00"), (None, "z", "en", "src00")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    wanted = con.execute(SQL["op6_mixing"]).fetchall()
+    got = op6_mixing(spark, str(tmp_path)).select("doc_id", "epoch", "domain", "language", "source", "tokens").collect()
+    assert Counter(map(tuple, got)) == Counter(wanted) and sum(r.source == "src20" for r in got) == 9
+
+
 def test_shortages_go_to_siblings_first(spark):
     leaves = [("d1", "en", "s1", 1, 10), ("d1", "en", "s2", 1, 100), ("d1", "fr", "s1", 1, 100), ("d2", "en", "s1", 1, 50)]
     df = spark.createDataFrame(leaves, "domain string, language string, source string, rows long, tokens long")
