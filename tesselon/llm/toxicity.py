@@ -28,15 +28,14 @@ from .words import Words, slices, tidy, unique_per_text, words
 
 #: Labelled rows to learn from, at most, of each class.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
-ACTIVE_TERMS = 1024
 FACTORS = 4
 #: Labelled texts whose terms are handed over at once.
 FIT_SLICE = 200
 THRESHOLD = 0.7
 #: The least statistic of an active term; 18 is passed by chance once in 45,000 terms.
 LEAST_GAIN = 18.0
-#: A term in more than this share of the clean texts, and of all labelled ones, says nothing.
-COMMON = 0.2
+#: The least number of texts that an active term is in.
+LEAST_TEXTS = 3
 #: Minima of a text's terms, how many make a band, and how many near copies share.
 MINIMA, BAND, ALIKE = 16, 4, 10
 PREFIXES = (4, 5, 6, 7)
@@ -99,12 +98,13 @@ def without_copies(signatures: list[list[int]]) -> list[int]:
 
     Copies would make their chance words look like telling ones.
     """
+    table = np.array(signatures, np.int64).reshape(-1, MINIMA)
     bands: dict[tuple, list[int]] = {}
     kept: list[int] = []
     for k, own in enumerate(signatures):
         keys = [(b, *own[b : b + BAND]) for b in range(0, MINIMA, BAND)]
-        near = {j for key in keys for j in bands.get(key, ())[:20]}
-        if any(sum(x == y for x, y in zip(own, signatures[j], strict=True)) >= ALIKE for j in near):
+        near = [j for key in keys for j in bands.get(key, ())]
+        if near and ((table[near] == table[k]).sum(axis=1) >= ALIKE).any():
             continue
         kept.append(k)
         for key in keys:
@@ -140,12 +140,12 @@ class FactorizationMachine:
         toxic, clean = int(y.sum()), int(len(y) - y.sum())
         if not toxic or not clean:
             return FactorizationMachine(active[:0], 4.0 if toxic else -4.0, np.zeros(0), np.zeros((0, FACTORS)))
-        best = active
-        x = np.zeros((len(sets), len(best)), np.float32)
-        for k, own in enumerate(sets):
-            x[k, np.searchsorted(best, own)] = 1
-        w0, w = np.log(toxic / clean), np.zeros(len(best))
-        v = rng.normal(0, 0.01, (len(best), FACTORS))
+        m = len(active)
+        flat = np.searchsorted(active, np.concatenate(sets))
+        size = np.array([len(own) for own in sets], np.int64)
+        first = np.cumsum(size) - size
+        w0, w = np.log(toxic / clean), np.zeros(m)
+        v = rng.normal(0, 0.01, (m, FACTORS))
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, v)]
         bias_m = bias_s = 0.0
         at = 0
@@ -153,11 +153,16 @@ class FactorizationMachine:
             order = rng.permutation(len(sets))
             for k in range(0, len(order), 512):
                 rows, at = order[k : k + 512], at + 1
-                xb, yb = x[rows], y[rows]
-                xv = xb @ v
-                z = w0 + xb @ w + 0.5 * ((xv**2).sum(1) - xb @ (v**2).sum(1))
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - yb) / len(rows)
-                grads = (xb.T @ g + decay * w, xb.T @ (g[:, None] * xv) - (xb.T @ g)[:, None] * v + decay * v)
+                n = len(rows)
+                owner = np.repeat(np.arange(n), size[rows])
+                term = flat[np.repeat(first[rows] - (np.cumsum(size[rows]) - size[rows]), size[rows]) + np.arange(len(owner))]
+                vt = v[term]
+                xv = np.stack([np.bincount(owner, vt[:, f], n) for f in range(FACTORS)], axis=1)
+                z = w0 + np.bincount(owner, w[term], n) + 0.5 * ((xv**2).sum(1) - np.bincount(owner, (vt**2).sum(1), n))
+                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / n
+                gw = np.bincount(term, g[owner], m)
+                gv = np.stack([np.bincount(term, g[owner] * xv[owner, f], m) for f in range(FACTORS)], axis=1) - gw[:, None] * v
+                grads = (gw + decay * w, gv + decay * v)
                 for p, grad, s in zip((w, v), grads, state, strict=True):
                     s[0] = 0.9 * s[0] + 0.1 * grad
                     s[1] = 0.999 * s[1] + 0.001 * grad**2
@@ -206,36 +211,38 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Learn from at most FIT_TOXIC toxic and FIT_CLEAN clean labelled rows.
 
     Terms are counted where they are; only signatures, the active terms and each
-    text's share of them come to the driver.
+    text's share of them come to the driver. Nothing depends on how the rows are
+    split: they are named by their content and identifier.
     """
     sample = labelled(df, labels, label_col, {1: FIT_TOXIC, 0: FIT_CLEAN}, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, texts in enumerate(slices(batch.column(1), FIT_SLICE)):
+            for k, texts in enumerate(slices(batch.column(2), FIT_SLICE)):
                 sets = term_sets(words(texts))
                 lists = pa.array([s.view(np.int32) for s in sets], pa.list_(pa.int32()))
                 lows = pa.array([minima(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k * FIT_SLICE, FIT_SLICE), lists, lows], ["label", "terms", "minima"])
+                own = batch.slice(k * FIT_SLICE, FIT_SLICE)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), lists, lows], ["id", "label", "terms", "minima"])
             tidy()
 
-    fields = [T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("minima", T.ArrayType(T.LongType()))]
-    schema = T.StructType(fields)
-    rows = cut(sample.select("__label", "__text").mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
+    fields = [T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("minima", T.ArrayType(T.LongType()))]
+    rows = sample.select(F.xxhash64("__id").alias("id"), "__label", "__text").mapInArrow(run, T.StructType(fields))
+    rows = cut(rows.withColumn("row", F.xxhash64("id", "label", "minima")).dropDuplicates(["row"]))
     seen = rows.select("row", "label", "minima").orderBy("label", "minima", "row").collect()
     kept = [seen[k] for k in without_copies([r.minima for r in seen])]
     toxic = sum(r.label for r in kept)
     if not toxic or toxic == len(kept):
         return FactorizationMachine.fit(np.zeros(0, np.uint32), [], np.array([r.label for r in kept], np.int64))
-    chosen = rows.join(F.broadcast(df.sparkSession.createDataFrame([(r.row,) for r in kept], "row long")), "row")
-    counts = chosen.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    common = f"n > {COMMON * len(kept)} and n - a > {COMMON * (len(kept) - toxic)}"
-    counts = counts.filter(f"n >= 3 and not ({common})").withColumn("gain", divergence(F.col("a"), F.col("n"), toxic, len(kept) - toxic))
-    best = counts.filter(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "term").limit(ACTIVE_TERMS)
-    found = [r.term for r in best.select("term").collect()]  # at most ACTIVE_TERMS
-    shares = chosen.select("row", "label", F.array_intersect("terms", F.lit(found).cast("array<int>")).alias("own")).orderBy("row").collect()
-    unsigned = lambda terms: np.array(terms, np.int32).view(np.uint32)
-    return FactorizationMachine.fit(np.sort(unsigned(found)), [unsigned(r.own) for r in shares], np.array([r.label for r in shares], np.int64))
+    chosen = rows.join(F.broadcast(df.sparkSession.createDataFrame([(r.row,) for r in kept], "row long")), "row").select("row", "label", F.explode("terms").alias("term"))
+    counts = chosen.groupBy("term").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
+    telling = divergence(F.col("a"), F.col("n"), toxic, len(kept) - toxic) > LEAST_GAIN
+    active = cut(counts.filter(F.col("n") >= LEAST_TEXTS).filter(telling).select("term"))
+    own = chosen.join(F.broadcast(active), "term").groupBy("row").agg(F.collect_list("term").alias("own"))
+    share = {r.row: r.own for r in own.collect()}
+    unsigned = lambda terms: np.sort(np.array(terms, np.int32).view(np.uint32))
+    found = unsigned([r.term for r in active.collect()])
+    return FactorizationMachine.fit(found, [unsigned(share.get(r.row, [])) for r in kept], np.array([r.label for r in kept], np.int64))
 
 
 def scored(model: FactorizationMachine, text: Column) -> Column:
