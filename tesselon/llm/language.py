@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
 from .common import fold
 from .words import Words, one_array, slices, sums, tidy, words
 
-#: Rows of each language to learn from, about; the counts of so many words are kept.
-FIT_ROWS, FIT_WORDS = 2500, 200_000
-KNOWN_WORDS, KNOWN_GRAMS = 50_000, 25_000
+#: Rows of each language to learn from, about.
+FIT_ROWS = 2500
+#: How often a word or n-gram must have been seen to be known.
+LEAST_SEEN = 3
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words after which more words don't make the answer surer.
 SURE_AFTER = 30
@@ -31,11 +33,6 @@ UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f"^{word}$"
-    return [marked[k : k + n] for k in range(len(marked) - n + 1)]
-
-
 @dataclass
 class LanguageModel:
     """rows: log frequencies, a row for each known word or n-gram; words and grams give the row."""
@@ -46,39 +43,17 @@ class LanguageModel:
     grams: dict[int, dict[str, int]] = field(default_factory=dict)
 
     @staticmethod
-    def fit(counted: list[tuple[str, str, int]]) -> LanguageModel:
-        """From (language, lower-cased word, count)."""
-        languages = sorted({c[0] for c in counted})
+    def of(languages: list[str], totals: dict[int, tuple[int, np.ndarray]], known: list[tuple[int, str, np.ndarray]]) -> LanguageModel:
+        """From the sizes and language totals of each length's table, 0 being words, and known (length, key, counts)."""
         if not languages:
             return LanguageModel([], np.zeros((0, 0), np.float32), {})
-        place = {name: k for k, name in enumerate(languages)}
-        rows: list[np.ndarray] = []
-
-        def known(table: dict[str, np.ndarray], least: int, most: int) -> dict[str, int]:
-            total = sum(table.values(), np.zeros(len(languages))) + 1
-            size = len(table) or 1
-            chosen = sorted((k for k, v in table.items() if v.sum() >= least), key=lambda k: (-table[k].sum(), k))[:most]
-            found = {}
-            for key in chosen:
-                found[key] = len(rows)
-                rows.append(np.log((table[key] + 0.1) / (total + 0.1 * size)))
-            return found
-
-        by_word: dict[str, np.ndarray] = {}
-        for language, word, n in counted:
-            by_word.setdefault(word, np.zeros(len(languages)))[place[language]] += n
-        own = known(by_word, 3, KNOWN_WORDS)
-        by_gram = {}
-        for length in LENGTHS:
-            table: dict[str, np.ndarray] = {}
-            for word, v in by_word.items():
-                for g in grams(word, length):
-                    if g in table:
-                        table[g] += v
-                    else:
-                        table[g] = v.copy()
-            by_gram[length] = known(table, 3, KNOWN_GRAMS)
-        return LanguageModel(languages, np.array(rows, np.float32).reshape(-1, len(languages)), own, by_gram)
+        tables: dict[int, dict[str, int]] = {n: {} for n in (0, *LENGTHS)}
+        rows = np.zeros((len(known), len(languages)), np.float32)
+        for k, (length, key, counts) in enumerate(known):
+            size, total = totals[length]
+            tables[length][key] = k
+            rows[k] = np.log((counts + 0.1) / (total + 1 + 0.1 * size))
+        return LanguageModel(languages, rows, tables.pop(0), tables)
 
     def evidence(self, run: str) -> list[int]:
         """The rows that speak for a lower-cased word; none if even its characters are unknown."""
@@ -121,8 +96,18 @@ class LanguageModel:
         return named, np.where(total > 0, p[np.arange(n), best], 0.0)
 
 
+def grams_of(word: Column, length: int) -> Column:
+    """array<struct<length, key>>: the n-grams of a word with marks for its beginning and end."""
+    marked = F.concat(F.lit("^"), word, F.lit("$"))
+    cuts = F.transform(F.sequence(F.lit(1), F.length(marked) - length + 1), lambda k: F.struct(F.lit(length).alias("length"), F.substring(marked, k, F.lit(length)).alias("key")))
+    return F.when(F.length(marked) >= length, cuts).otherwise(F.array().cast("array<struct<length:int,key:string>>"))
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Learn from about FIT_ROWS rows of each language outside the held-out fold, chosen by hashed id."""
+    """Learn from about FIT_ROWS rows of each language outside the held-out fold, chosen by hashed id.
+
+    Words and n-grams are counted as tables; all that were seen LEAST_SEEN times are known.
+    """
     ident, lang = F.col(f"`{id_col}`"), F.col(f"`{lang_col}`")
     usable = df.filter(lang.isNotNull() & (fold(ident) != 1)).select(ident.alias("__id"), lang.cast("string").alias("__lang"), F.col(f"`{text_col}`").alias("__text"))
     sizes = usable.groupBy("__lang").agg(F.count("*").alias("__rows"))
@@ -138,9 +123,20 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS).collect()
-    return LanguageModel.fit([(r[0], r[1], r[2]) for r in rows])
+    by_word = cut(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    languages = [r[0] for r in by_word.select("lang").distinct().orderBy("lang").collect()]
+    keys = F.concat(F.array(F.struct(F.lit(0).alias("length"), F.col("word").alias("key"))), *[grams_of(F.col("word"), n) for n in LENGTHS])
+    keys = by_word.select("lang", "n", F.explode(keys).alias("k")).groupBy("k.length", "k.key", "lang").agg(F.sum("n").alias("n"))
+    keys = cut(keys.groupBy("length", "key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n")))
+    totals = {}
+    for r in keys.groupBy("length").agg(F.count("*").alias("size"), *[F.sum(F.col("by")[name]).alias(f"l{k}") for k, name in enumerate(languages)]).collect():
+        totals[r["length"]] = (r["size"], np.array([r[f"l{k}"] or 0 for k in range(len(languages))], float))
+    known = keys.filter(F.col("n") >= LEAST_SEEN).select("length", "key", F.array(*[F.coalesce(F.col("by")[name], F.lit(0)) for name in languages]).alias("counts"))
+    found = known.orderBy("length", "key").toArrow() if languages else None
+    if found is None:
+        return LanguageModel.of([], {}, [])
+    counts = np.asarray(found.column("counts").combine_chunks().flatten(), float).reshape(-1, len(languages))
+    return LanguageModel.of(languages, totals, list(zip(found.column("length").to_pylist(), found.column("key").to_pylist(), counts, strict=True)))
 
 
 def predicted(model: LanguageModel, text: Column) -> Column:
