@@ -16,15 +16,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
+from .common import HELD_OUT, fold
 from .toxicity import labelled
 from .words import Words, mix64, one_array, slices, sums, tidy, unique_per_text, words
 
 #: Labelled rows to learn from, at most, of each class.
 FIT_GOOD, FIT_BAD = 3000, 3000
+#: Bytes of their features at most, of each class; very long texts make the sample smaller, never shorter.
+FIT_BYTES = 100_000_000
 BITS = 17
 #: Feature spaces, one after another: words, word pairs, character 4-grams.
 SPACES = 3
@@ -217,25 +221,35 @@ def features_of(texts: pa.Array, split: Words) -> list[tuple[np.ndarray, np.ndar
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Learn from at most FIT_GOOD and FIT_BAD labelled rows outside the held-out fold."""
+    """Learn from at most FIT_GOOD and FIT_BAD labelled rows outside the held-out fold.
+
+    Rows are taken by hashed id while their features are FIT_BYTES together. The
+    share of good texts to calibrate for is that of all labels outside the
+    held-out fold.
+    """
     sample = labelled(df, labels, label_col, {1: FIT_GOOD, 0: FIT_BAD}, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                texts = one_array(part.column(1))
+                texts = one_array(part.column(2))
                 found = features_of(texts, words(texts))
-                columns = [part.column(0), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["label", "buckets", "values"])
-
-    schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("buckets", T.BinaryType()), T.StructField("values", T.BinaryType())])
-    rows = sample.select("__label", "__text").mapInArrow(run, schema).toArrow().to_pydict()
+                columns = [part.column(0), part.column(1), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["place", "label", "buckets", "values"])
+
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("buckets", T.BinaryType()), T.StructField("values", T.BinaryType())])
+    made = cut(sample.select(F.xxhash64("__id"), "__label", "__text").mapInArrow(run, schema))
+    along = Window.partitionBy("label").orderBy("place", "size", "mark").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = made.select("label", "place", F.octet_length("buckets").alias("size"), F.xxhash64("buckets", "values").alias("mark"))
+    sizes = sizes.withColumn("upto", F.sum(F.col("size") * 2).over(along)).filter(F.col("upto") <= FIT_BYTES)  # a row for each learned text
+    rows = made.withColumn("mark", F.xxhash64("buckets", "values")).join(F.broadcast(sizes.select("place", "mark").distinct()), ["place", "mark"], "left_semi")
+    rows = rows.select("label", "buckets", "values").toArrow().to_pydict()
     order = sorted(range(len(rows["label"])), key=lambda k: (rows["label"][k], zlib.crc32(rows["buckets"][k]), rows["buckets"][k]))
     features = [(np.frombuffer(rows["buckets"][k], np.int32), np.frombuffer(rows["values"][k], np.float32)) for k in order]
-    label = F.col(f"`{label_col}`").cast("int")
-    shares = labels.agg(F.avg((label == 1).cast("double"))).first()[0]
-    return QualityModel.fit(features, np.array([rows["label"][k] for k in order]), float(np.clip(shares if shares is not None else 0.5, 0.05, 0.95)))
+    learned = labels.filter(fold(F.col(f"`{id_col}`")) != HELD_OUT)
+    share = learned.agg(F.avg((F.col(f"`{label_col}`").cast("int") == 1).cast("double"))).first()[0]
+    return QualityModel.fit(features, np.array([rows["label"][k] for k in order]), float(np.clip(share if share is not None else 0.5, 0.05, 0.95)))
 
 
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
