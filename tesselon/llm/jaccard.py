@@ -10,7 +10,7 @@ In a tile, parity bitmaps of hashed shingles are compared: the bits in which two
 differ bound their overlap from above. Pairs that may be linked connect nodes to
 blocks, which no link leaves, and within a block sorted arrays are intersected
 exactly for pairs that aren't connected yet. Tiles and blocks too large for a task
-are dealt out as pairs of chunks, so every task has bounded work.
+are dealt out to chunks (see ``hot_groups``), so every task has bounded work.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .components import components
+from .hot_groups import NAMED, connecting_edges
 from .words import SLICE, mix64, one_array, slices, sums, tidy, words
 
 #: A part may be empty in so many cases before empty parts count as content.
@@ -45,6 +46,10 @@ CHUNK_NODES, BUNDLE_ROWS = 8192, 100_000
 FEW = 8
 #: Nodes of a tile whose pairs are compared in one step; larger ones go node by node.
 MATRIX = 256
+#: Members of a chunk by which the others' partners are counted.
+SEEN = 256
+#: One in so many rows shows which keys have very many; seen so often, a key is dealt out by node too, the most frequent ones only.
+HOT_SAMPLE, HOT_SEEN, HOT_KEYS = 1024, 16, 100_000
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -150,41 +155,57 @@ def tile_keys(sets: np.ndarray, starts: np.ndarray, like: Likeness) -> tuple[np.
     return np.concatenate(texts), np.concatenate(keys)
 
 
-def nodes_of(df: DataFrame, id_col: str, text_col: str, like: Likeness) -> DataFrame:
-    """doc_id, n_shingles, node, check and bitmap of every row; node is null for an empty set."""
+def rows_of(df: DataFrame, id_col: str, text_col: str, like: Likeness) -> DataFrame:
+    """doc_id, row, n_shingles, node, check, bitmap and tile keys of every row; node is null for an empty set.
+
+    ``row`` is a hash of the identifier and the text, by which the text is found
+    again. Of equal sets that come together only the first has its keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, texts in enumerate(slices(batch.column(1))):
+            for k, texts in enumerate(slices(batch.column(2))):
                 sets, starts = shingle_sets(texts, like.words)
                 node, check = set_names(sets, starts)
                 n = np.diff(starts)
                 maps = [bitmap(sets[a:b], like.bits(b - a)).tobytes() for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
-                columns = [batch.column(0).slice(k * SLICE, SLICE), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), pa.array(maps, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "check", "bitmap"])
+                first = np.zeros(len(node), bool)
+                first[np.unique(node, return_index=True)[1]] = True
+                text, key = tile_keys(sets, starts, like)
+                text, key = text[first[text]], key[first[text]]  # equal sets have equal keys
+                ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(n))))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[np.argsort(text, kind="stable")].view(np.int64)))
+                own = batch.slice(k * SLICE, SLICE)
+                columns = [own.column(0), own.column(1), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), pa.array(maps, pa.binary()), keys]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "node", "check", "bitmap", "keys"])
             tidy()
 
-    rows = df.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, check long, bitmap binary")
+    ident, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    rows = df.select(ident.alias("doc_id"), row_of(ident, text).alias("row"), text)
+    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, check long, bitmap binary, keys array<long>")
 
 
-def tiles_of(df: DataFrame, text_col: str, like: Likeness) -> DataFrame:
-    """(tile, nodes, node): the nodes of each tile that has several, tiles with the same nodes being one."""
+def row_of(ident: Column, text: Column) -> Column:
+    return F.xxhash64(ident.cast("long"), text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in slices(batch.column(0)):
-                sets, starts = shingle_sets(texts, like.words)
-                node = set_names(sets, starts)[0]
-                _, once = np.unique(node, return_index=True)
-                text, key = tile_keys(sets, starts, like)
-                first = np.zeros(len(node), bool)
-                first[once] = True
-                use = first[text]  # equal sets have equal keys
-                yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(node[text[use]].view(np.int64))], ["key", "node"])
-            tidy()
 
-    return shared_tiles(df.select(F.col(f"`{text_col}`")).mapInArrow(run, "key long, node long"))
+def tiles_of(docs: DataFrame) -> DataFrame:
+    """(tile, nodes, node): the nodes of each tile that has several, tiles with the same nodes being one.
+
+    Keys of very many rows, as a sample shows them, are dealt out by node as
+    well; the others are sorted key by key. Both ways give the same rows.
+    """
+    rows = docs.filter("node is not null").select(F.explode("keys").alias("key"), "node")
+    often = rows.filter(F.rand(11) < 1 / HOT_SAMPLE).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_SEEN)
+    hot = cut(often.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key"))
+    if hot.isEmpty():
+        return shared_tiles(rows)
+    spread = rows.join(F.broadcast(hot), "key", "left_semi").distinct()
+    one, two = (F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2))
+    tiles = spread.groupBy("key").agg(F.count("*").alias("nodes"), one.alias("one"), two.alias("two")).filter("nodes > 1")
+    tiles = tiles.select("key", F.xxhash64("nodes", "one", "two").alias("tile"), "nodes")
+    wide = spread.join(F.broadcast(tiles), "key").select("tile", "nodes", "node")  # HOT_KEYS tiles at most
+    return shared_tiles(rows.join(F.broadcast(hot), "key", "left_anti")).unionByName(wide).distinct()
 
 
 def shared_tiles(rows: DataFrame) -> DataFrame:
@@ -199,32 +220,43 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("nodes", "one", "two").alias("tile"), "nodes", "node").distinct()
 
 
-def edges_of(df: DataFrame, text_col: str, docs: DataFrame, like: Likeness) -> DataFrame:
+def edges_of(docs: DataFrame, like: Likeness) -> DataFrame:
     """(a, b): pairs of nodes that may be linked and connect what all such pairs connect."""
-    tiles = cut(tiles_of(df, text_col, like))
-    maps = docs.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
+    tiles = cut(tiles_of(docs).select(F.col("tile").alias("group"), "nodes", F.col("node").alias("item")))
+    maps = docs.filter("node is not null").groupBy(F.col("node").alias("item")).agg(F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
     bundles = max(1, -(-tiles.count() // BUNDLE_ROWS))
-    chunks = F.ceil(F.col("nodes") / CHUNK_NODES).cast("int")
-    small = tiles.filter(F.col("nodes") <= CHUNK_NODES).select("tile", "node", F.pmod("tile", F.lit(bundles)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"))
-    large = dealt(tiles.filter(F.col("nodes") > CHUNK_NODES).withColumn("chunks", chunks), "node")
-    large = large.select("tile", "node", F.col("tile").alias("task"), "i", "j", "side")
-    joined = small.unionAll(large).join(maps, "node").select("task", "i", "j", "tile", "node", "side", "size", "bitmap")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("tile", "ascending"), ("size", "ascending"), ("node", "ascending")])
-        tile, node, side, size = (np.asarray(group.column(c)) for c in ("tile", "node", "side", "size"))
-        a, b = possible_edges(tile, size, side, Bitmaps(group.column("bitmap").to_pylist()), like)
-        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
+    def compare(rows: DataFrame, hubs: bool) -> DataFrame:
+        joined = rows.join(maps, "item").select("task", "i", "j", "group", "item", "side", "size", "bitmap")
 
-    return joined.groupBy("task", "i", "j").applyInArrow(run, "a long, b long").distinct()
+        def run(part: pa.Table) -> pa.Table:
+            part = part.combine_chunks().sort_by([("group", "ascending"), ("size", "ascending"), ("item", "ascending")])
+            group, item, side, size = (np.asarray(part.column(c)) for c in ("group", "item", "side", "size"))
+            bitmaps = Bitmaps(part.column("bitmap").to_pylist())
+            a, b = possible_edges(group, size, side, bitmaps, like)
+            top, degree = central(Closeness(size, side, bitmaps.alike(np.arange(len(size))), like), NAMED) if hubs else (a[:0], a[:0])
+            return edge_table(group[np.concatenate((a, top))], item[a], item[b], item[top], degree)
 
+        return joined.groupBy("task", "i", "j").applyInArrow(run, EDGES)
 
-def dealt(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of large groups (with ``chunks``) for each pair (i, j) of chunks; side tells the chunk, 2 that both are one."""
-    own = F.pmod(F.xxhash64(by), F.col("chunks")).cast("int")
-    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", side)
+    small = tiles.filter(F.col("nodes") <= CHUNK_NODES).select("group", "item", F.pmod("group", F.lit(bundles)).alias("task"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"))
+    edges = compare(small, False).select("a", "b")
+    large = cut(tiles.filter(F.col("nodes") > CHUNK_NODES).select("group", "item", F.ceil(F.col("nodes") / CHUNK_NODES).cast("int").alias("chunks")))
+    if large.isEmpty():
+        return edges.distinct()
+    edges = cut(edges.distinct())
+    return edges.unionByName(connecting_edges(large, edges, compare)).distinct()
+
+
+#: What the tasks of a comparison return: edges, or members with their number of possible partners.
+EDGES = "group long, a long, b long, degree long"
+
+
+def edge_table(group: np.ndarray, a: np.ndarray, b: np.ndarray, top: np.ndarray, degree: np.ndarray) -> pa.Table:
+    edge = np.arange(len(a) + len(top)) < len(a)
+    both = lambda x, y: np.concatenate((np.asarray(x, np.int64), np.asarray(y, np.int64)))
+    columns = {"group": pa.array(group, pa.int64()), "a": pa.array(both(a, top))}
+    return pa.table(columns | {"b": pa.array(both(b, top), mask=~edge), "degree": pa.array(both(b, degree), mask=edge)})
 
 
 def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
@@ -316,6 +348,16 @@ class Closeness:
         return good
 
 
+def central(may: Closeness, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members with the most possible partners among SEEN of them, and how many those are."""
+    n = len(may.size)
+    degree = np.zeros(n, np.int64)
+    for f in np.unique(np.linspace(0, n - 1, min(n, SEEN)).astype(np.int64)).tolist() if n and most else []:
+        degree += may.partners(f, np.arange(n))
+    best = np.argsort(-degree, kind="stable")[:most]
+    return best, degree[best]
+
+
 def possible_edges(tile: np.ndarray, size: np.ndarray, side: np.ndarray, maps: Bitmaps, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """Rows a and b that may be linked and connect what all such pairs of a tile connect; rows come by tile and size."""
     bounds = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True]))) if len(tile) else np.zeros(1, np.int64)
@@ -341,8 +383,8 @@ def possible_edges(tile: np.ndarray, size: np.ndarray, side: np.ndarray, maps: B
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def spanning_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray, like: Likeness) -> list[tuple[int, int]]:
-    """Links that connect what all links connect.
+def spanning_links(sets: list[np.ndarray], side: np.ndarray, like: Likeness, named: int = 0) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Links (places of two sets) that connect what all links connect, and the ``named`` most central sets with their degrees.
 
     side 0 and 1 are two chunks, of which only pairs across count; 2 is compared with everything.
     """
@@ -359,43 +401,74 @@ def spanning_links(names: np.ndarray, sets: list[np.ndarray], side: np.ndarray,
             hit[k] = like.den * same >= like.num * (len(own) + len(other) - same)
         return hit
 
-    return [(int(names[f]), int(names[k])) for f, found in reach(len(sets), linked) for k in found.tolist()]
+    links = [(f, k) for f, found in reach(len(sets), linked) for k in found.tolist()]
+    return links, *central(may, named)
 
 
-def links_of(df: DataFrame, id_col: str, text_col: str, docs: DataFrame, blocks: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b): links between the first documents of nodes that connect what all links connect."""
-    firsts = docs.filter("node is not null").groupBy("node", "n_shingles", "check").agg(F.min("doc_id").alias("rep")).filter("rep is not null")
-    found = cut(firsts.join(blocks.withColumnRenamed("root", "block"), "node").select("rep", "block", "node", "n_shingles"))
+def links_of(df: DataFrame, id_col: str, text_col: str, found: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b): links between items that connect what all links connect.
+
+    ``found`` has item, row, node, block and n_shingles of a first row of each
+    distinct set that may be linked.
+    """
     sizes = found.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     big = sizes.filter((F.col("docs") > CHUNK_DOCS) | (F.col("shingles") > CHUNK_SHINGLES))
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
     big = cut(big.select("block", chunks.alias("chunks")))
-    placed = found.join(F.broadcast(big) if big.count() <= BROADCAST_ROWS else big, "block", "left")
+    placed = found.join(F.broadcast(big) if big.count() <= BROADCAST_ROWS else big, "block", "left").select("item", "row", "node", F.col("block").alias("group"), "chunks", "n_shingles")
     total = found.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    bundle = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-total // BUNDLE_SHINGLES))))
-    small = placed.filter("chunks is null").select("rep", "block", "node", bundle.alias("tile"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(2).alias("side"))
-    large = dealt(placed.filter("chunks is not null"), "rep").select("rep", "block", "node", F.col("block").alias("tile"), "i", "j", "side")
-    tiles = cut(small.unionAll(large))
-    few = tiles.count() <= BROADCAST_ROWS
-    texts = df.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").alias("text"))
-    joined = texts.join(F.broadcast(tiles) if few else tiles, "rep").select("tile", "i", "j", "rep", "block", "node", "side", "text")
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        sets, starts = shingle_sets(one_array(group.column("text")), like.words)
-        node = set_names(sets, starts)[0].view(np.int64)
-        rep, block, named, side_ = (np.asarray(group.column(c)) for c in ("rep", "block", "node", "side"))
-        use = np.flatnonzero(node == named)
-        _, once = np.unique(np.stack([block[use], rep[use]]), axis=1, return_index=True)
-        use = use[once]
-        out: list[tuple[int, int]] = []
-        bounds = np.flatnonzero(np.concatenate(([True], block[use][1:] != block[use][:-1], [True]))) if len(use) else []
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            own = use[a:b]
-            out += spanning_links(rep[own], [sets[starts[k] : starts[k + 1]] for k in own], side_[own], like)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return joined.groupBy("tile", "i", "j").applyInArrow(run, "a long, b long")
+    bundle = F.pmod(F.xxhash64("group"), F.lit(max(1, -(-total // BUNDLE_SHINGLES))))
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    texts = df.select(row_of(ident, text).alias("row"), text.alias("text"))
+
+    def compare(rows: DataFrame, hubs: bool) -> DataFrame:
+        rows = cut(rows.select("task", "i", "j", "side", "group", "item", "row", "node"))
+        few = rows.count() <= BROADCAST_ROWS
+        joined = texts.join(F.broadcast(rows) if few else rows, "row").select("task", "i", "j", "group", "item", "node", "side", "text")
+
+        def run(part: pa.Table) -> pa.Table:
+            part = part.combine_chunks()
+            sets, starts = shingle_sets(one_array(part.column("text")), like.words)
+            node = set_names(sets, starts)[0].view(np.int64)
+            group, item, named, side_ = (np.asarray(part.column(c)) for c in ("group", "item", "node", "side"))
+            use = np.flatnonzero(node == named)
+            _, once = np.unique(np.stack([group[use], item[use], side_[use]]), axis=1, return_index=True)
+            use = use[once]
+            bounds = np.flatnonzero(np.concatenate(([True], group[use][1:] != group[use][:-1], [True]))).tolist() if len(use) else []
+            tables = []
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                own = use[s:e]
+                links, top, degree = spanning_links([sets[starts[k] : starts[k + 1]] for k in own], side_[own], like, NAMED if hubs else 0)
+                a, b = np.array(links, np.int64).reshape(-1, 2).T
+                tables.append(edge_table(np.full(len(a) + len(top), group[own[0]]), item[own[a]], item[own[b]], item[own[top]], degree))
+            return pa.concat_tables(tables) if tables else edge_table(*[np.zeros(0, np.int64)] * 5)
+
+        return joined.groupBy("task", "i", "j").applyInArrow(run, EDGES)
+
+    small = placed.filter("chunks is null").withColumn("task", bundle).withColumn("i", F.lit(-1)).withColumn("j", F.lit(-1)).withColumn("side", F.lit(2))
+    links = compare(small, False).select("a", "b")
+    if big.isEmpty():
+        return links
+    links = cut(links)
+    return links.unionByName(connecting_edges(placed.filter("chunks is not null"), links, compare))
+
+
+def _joined(df: DataFrame, like: Likeness, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, row, n_shingles and component_id of every row."""
+    docs = cut(rows_of(df, id_col, text_col, like))
+    blocks = cut(components(edges_of(docs, like)))
+    key = ["node", "n_shingles", "check"]
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    groups = docs.filter("node is not null").groupBy(*key).agg(least, F.count("*").alias("rows"))
+    groups = cut(groups.join(blocks.withColumnRenamed("root", "block"), "node", "left").filter("rows > 1 or block is not null").select(*key, "rows", "least.doc_id", "least.row", "block", F.monotonically_increasing_id().alias("item")))
+    links = links_of(df, id_col, text_col, groups.filter("block is not null"), like)
+    linked = cut(components(links).join(groups.select(F.col("item").alias("node"), "doc_id"), "node"))
+    names = linked.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    linked = linked.select(F.col("node").alias("item"), "root").join(names, "root").select("item", "component_id", F.lit(True).alias("linked"))
+    groups = groups.join(linked, "item", "left").filter("rows > 1 or linked")
+    groups = groups.select(*key, F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.lit(True).alias("grouped"))
+    component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return docs.select("doc_id", "row", *key).join(groups, key, "left").select("doc_id", "row", "n_shingles", component.alias("component_id"))
 
 
 def jaccard_join(df: DataFrame, like: Likeness | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,25 +477,21 @@ def jaccard_join(df: DataFrame, like: Likeness | None = None, id_col: str = "doc
     Null or wordless text has an empty set and is linked with nothing, itself
     included: its component is its own identifier. Texts with fewer words than a
     shingle are linked with equal sequences only. Repeated rows get the same
-    answer each; a null identifier is linked like any other but never names a
-    component (a component without any identifier has null). Texts of any length
-    are compared whole; an empty table gives an empty result. Other columns are
-    ignored. Identifiers are integers.
+    answer each, and different texts under one identifier are documents of their
+    own; a null identifier is linked like any other but never names a component (a
+    component without any identifier has null). Texts of any length are compared
+    whole; an empty table gives an empty result. Other columns are ignored.
+    Identifiers are integers.
     """
-    like = like or Likeness()
-    docs = cut(nodes_of(df, id_col, text_col, like))
-    blocks = cut(components(edges_of(df, text_col, docs, like)))
-    linked = components(links_of(df, id_col, text_col, docs, blocks, like))
-    key = ["node", "n_shingles", "check"]
-    groups = docs.filter("node is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    groups = groups.join(linked.withColumnRenamed("node", "rep"), "rep", "left").filter("rows > 1 or root is not null")
-    groups = groups.select(*key, F.coalesce("root", "rep").alias("component_id"))
-    return docs.join(groups, key, "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _joined(df, like or Likeness(), id_col, text_col).drop("row")
 
 
 def drop_near_copies(df: DataFrame, like: Likeness | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with its columns: of each component the rows of its least identifier."""
-    found = jaccard_join(df, like, id_col, text_col)
-    gone = cut(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    """The rows of ``df`` that stay, with its columns: of each component the rows of its least identifier.
+
+    A component without any identifier stays whole, as nothing tells its rows apart.
+    """
+    found = _joined(df, like or Likeness(), id_col, text_col)
+    gone = cut(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__gone")).distinct())
     small = F.broadcast(gone) if gone.count() <= 5 * BROADCAST_ROWS else gone
-    return df.join(small, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    return df.join(small, row_of(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")) == F.col("__gone"), "left_anti")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselon.llm import components as cc
-from tesselon.llm import jaccard, language, mixing, packing, quality, secrets, token_matrix, toxicity
+from tesselon.llm import hot_groups, jaccard, language, mixing, packing, quality, secrets, token_matrix, toxicity
 from tesselon.llm.chat import digest, format_chat
 from tesselon.llm.exact_dedup import drop_exact_copies, exact_dedup
 from tesselon.llm.jaccard import Likeness, jaccard_join
@@ -472,11 +472,71 @@ def test_jaccard_join_is_exact(spark, like, monkeypatch):
     want = brute(docs, like)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, like).collect()}
     assert got == want and len({c for _, c in want.values()}) < 250
-    for name, value in (("CHUNK_NODES", 5), ("CHUNK_DOCS", 4), ("BUNDLE_ROWS", 50), ("BUNDLE_SHINGLES", 500), ("BROADCAST_ROWS", 0), ("MATRIX", 6), ("FEW", 3)):
+    for name, value in (("CHUNK_NODES", 5), ("CHUNK_DOCS", 4), ("BUNDLE_ROWS", 50), ("BUNDLE_SHINGLES", 500), ("BROADCAST_ROWS", 0), ("MATRIX", 6), ("FEW", 3), ("HOT_SAMPLE", 1), ("HOT_SEEN", 3)):
         monkeypatch.setattr(jaccard, name, value)
+    monkeypatch.setattr(hot_groups, "HUBS", 1)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, like).collect()} == want
 
 
+def star(n, spare):
+    """A base, copies that differ from it in a place of their own (mostly not linked with each other), and ``spare`` far ones."""
+    base = [f"w{k}" for k in range(120)]
+    out = [(0, " ".join(base))]
+    for k in range(1, n):
+        w = list(base)
+        w[3 + k % 110] = f"own{k}"
+        out.append((k, " ".join(w)))
+    for k in range(n, n + spare):  # alike enough to share tiles, too far to be linked
+        w = list(base)
+        for at in range(4, 40, 3):
+            w[at] = f"far{k}"
+        out.append((k, " ".join(w)))
+    return out
+
+
+def test_large_groups_connect_through_hubs(spark, monkeypatch):
+    """Links through the hub only are found, and so few members are left that hardly any pairs of chunks are made."""
+    docs, like = star(150, 12), Likeness(3, 95, 100)
+    want = brute(docs, like)
+    assert len({c for _, c in want.values()}) == 13
+    monkeypatch.setattr(jaccard, "CHUNK_NODES", 20)
+    monkeypatch.setattr(jaccard, "CHUNK_DOCS", 10)
+    seen = []
+    real = jaccard.connecting_edges
+
+    def watched(groups, known, compare):
+        def counting(rows, hubs):
+            seen.append(rows.count())
+            return compare(rows, hubs)
+
+        return real(groups, known, counting)
+
+    monkeypatch.setattr(jaccard, "connecting_edges", watched)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, like).collect()} == want
+    assert seen and sum(seen[-3:]) < 150 * 15
+
+
+def test_near_copies_without_identifier_or_under_one(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows_ = [(None, base + " x"), (7, base), (7, "other words than the rest of them have"), (9, base + " y"), (None, "alone here by itself now")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    like = Likeness(3, 90, 100)
+    assert Counter((r.doc_id, r.component_id) for r in jaccard_join(df, like).collect()) == Counter([(None, 7), (7, 7), (7, 7), (9, 7), (None, None)])
+    kept = jaccard.drop_near_copies(df, like).collect()
+    assert sorted((r.doc_id or 0, r.text[:5]) for r in kept) == [(0, "alone"), (7, "other"), (7, "w0 w1")]
+
+
+def test_hot_keys_give_the_same_tiles(spark, monkeypatch):
+    rows_ = [(k, [k % 3, 10 + k % 50, 100 + k // 2]) for k in range(300)] + [(k, [k % 3]) for k in range(90)]
+    docs = spark.createDataFrame(rows_, "node long, keys array<long>").repartition(4)
+    plain = Counter(map(tuple, jaccard.tiles_of(docs).collect()))
+    monkeypatch.setattr(jaccard, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(jaccard, "HOT_SEEN", 5)
+    assert Counter(map(tuple, jaccard.tiles_of(docs).collect())) == plain and max(plain.values()) == 1
+    assert len({t for t, n, _ in plain if n == 100}) == 3
+
+
 def test_jaccard_edges(spark, odd, none):
     found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join(odd, Likeness(3, 90, 100)).collect()}
     assert found == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (None, 1, 4)}
