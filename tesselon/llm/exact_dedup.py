@@ -66,16 +66,18 @@ def exact_dedup(
     normalise: Callable[[Column], Column] = plain,
     keep: str = "smallest",
     n_buckets: int | None = None,
+    out: str = "dedup",
 ) -> DataFrame:
-    """All rows and columns of ``df`` plus one struct column ``dedup``.
+    """All rows and columns of ``df`` plus one struct column ``out``.
 
-    ``dedup`` holds keep_id (the identifier that stays), group_size, kept and
+    It holds keep_id (the identifier that stays), group_size, kept and
     text_sha256 (of the normalised text). Of equal texts the row with the
     ``keep`` ("smallest" or "largest") identifier stays. Null text counts as
     empty; a null identifier loses to any other; of repeated rows (same text and
     identifier) exactly one is kept; an empty table gives an empty result. Very
     long texts are compared in full. Other columns pass through, whatever their
-    names; only ``dedup`` and names beginning with ``__`` are reserved.
+    names, but one named as ``out`` is replaced; names beginning with ``__`` are
+    reserved.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep: smallest or largest")
@@ -107,17 +109,15 @@ def exact_dedup(
     joined = joined.join(F.broadcast(totals), F.col("__sha") == F.col("__cut"), "left")
     shared = F.col("__cut_size").isNotNull()
     keep_id = F.when(shared, F.col("__cut_id")).otherwise(F.col("__own_id"))
-    return joined.withColumn(
-        "dedup",
-        F.struct(
-            keep_id.alias("keep_id"),
-            F.coalesce("__cut_size", "__own_size").alias("group_size"),
-            (F.col("__head") & ident.eqNullSafe(keep_id)).alias("kept"),
-            F.col("__sha").alias("text_sha256"),
-        ),
-    ).select(*[F.col(f"`{c}`") for c in df.columns], "dedup")
+    struct = F.struct(
+        keep_id.alias("keep_id"),
+        F.coalesce("__cut_size", "__own_size").alias("group_size"),
+        (F.col("__head") & ident.eqNullSafe(keep_id)).alias("kept"),
+        F.col("__sha").alias("text_sha256"),
+    )
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], struct.alias(out))
 
 
 def drop_exact_copies(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` that stay, with its columns."""
-    return exact_dedup(df, **options).filter("dedup.kept").drop("dedup")
+    return exact_dedup(df, **options, out="__dedup").filter("__dedup.kept").drop("__dedup")

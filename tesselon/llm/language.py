@@ -123,7 +123,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
-    by_word = cut(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    return model_of(sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+
+
+def model_of(by_word: DataFrame) -> LanguageModel:
+    """From (lang, word, n), each pair once. What reaches the driver is the vocabulary of the bounded sample."""
+    by_word = cut(by_word)
     languages = [r[0] for r in by_word.select("lang").distinct().orderBy("lang").collect()]
     keys = F.concat(F.array(F.struct(F.lit(0).alias("length"), F.col("word").alias("key"))), *[grams_of(F.col("word"), n) for n in LENGTHS])
     keys = by_word.select("lang", "n", F.explode(keys).alias("k")).groupBy("k.length", "k.key", "lang").agg(F.sum("n").alias("n"))
@@ -163,7 +168,8 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     text when no row has a language to learn from; text in unknown letters gets
     the first language with an even score; ties go to the first language by name.
     Repeated rows are each answered; very long texts count whole; an empty table
-    gives an empty result. Other columns pass through; only ``language`` is reserved.
+    gives an empty result. Other columns pass
+    through, but one named ``language`` is replaced.
     """
     model = fit(df, id_col, text_col, lang_col)
     return df.withColumn("language", predicted(model, F.col(f"`{text_col}`")))

@@ -83,8 +83,9 @@ def mix(
     id_col: str = "doc_id",
     tokens: Column | None = None,
     text_col: str = "text",
+    out: str = "mix",
 ) -> DataFrame:
-    """The chosen rows with their columns and a struct ``mix`` (epoch, domain, language, source, tokens).
+    """The chosen rows with their columns and a struct ``out`` (epoch, domain, language, source, tokens).
 
     The budget is ``share_of_tokens`` of the corpus. A row is repeated once for
     each epoch that takes it, ``max_epochs`` times at most; with one epoch no row
@@ -93,8 +94,8 @@ def mix(
     the prefix if it comes before the prefix ends; a leaf without any tokens is
     taken once. Null names count as the empty name, null text as no tokens; rows
     with equal ids (nulls too) are taken or left together; an empty table gives an
-    empty result. Other columns pass through; only ``mix`` and names beginning
-    with ``__`` are reserved.
+    empty result. Other columns pass through, but one named as ``out`` is
+    replaced; names beginning with ``__`` are reserved.
     """
     ident = F.col(f"`{id_col}`")
     tokens = chars_as_tokens(F.col(f"`{text_col}`")) if tokens is None else tokens
@@ -130,4 +131,4 @@ def mix(
     epochs = F.least(F.col("__whole") + F.coalesce(taken, F.lit(False)).cast("long"), F.lit(max_epochs).cast("long"))
     rows = rows.withColumn("__epochs", epochs).filter("__epochs > 0").withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__epochs") - 1)))
     mixed = F.struct(F.col("__epoch").alias("epoch"), *[F.col(f"__{n}").alias(n) for n in LEVELS], F.col("__tokens").alias("tokens"))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], mixed.alias("mix"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns if c != out], mixed.alias(out))

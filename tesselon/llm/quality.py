@@ -282,8 +282,8 @@ def quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null text has no words and so fails, as does an empty one; repeated rows are
     each judged; very long texts count whole; with labels of one class only every
     probability is the same, and without labels nothing but the counts rejects; an
-    empty table gives an empty result. Other columns pass through; only
-    ``quality`` is reserved.
+    empty table gives an empty result. Other columns pass
+    through, but one named ``quality`` is replaced.
     """
     model = fit(df, labels, id_col, text_col, label_col)
     return df.withColumn("quality", judged(model, F.col(f"`{text_col}`")))

@@ -227,7 +227,7 @@ def find_secrets(df: DataFrame, text_col: str = "text", guess_from: float = GUES
 
     Spans are kind:start:end in code points, end exclusive. Null text counts as
     empty and has none; very long texts are searched whole; repeated rows are each
-    searched; an empty table gives an empty result. Other columns pass through;
-    only ``secrets`` is reserved.
+    searched; an empty table gives an empty result. Other columns pass
+    through, but one named ``secrets`` is replaced.
     """
     return df.withColumn("secrets", scanned(F.col(f"`{text_col}`"), guess_from))

@@ -263,8 +263,8 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null and empty texts have the score of a text without any known term; every
     repeated row is scored; very long texts are scored whole; without labels of
     both classes every score is the same (low without toxic labels); an empty
-    table gives an empty result. Other columns pass through; only ``toxicity`` is
-    reserved.
+    table gives an empty result. Other columns pass
+    through, but one named ``toxicity`` is replaced.
     """
     model = fit(df, labels, id_col, text_col, label_col)
     found = df.withColumn("__score", scored(model, F.col(f"`{text_col}`")))

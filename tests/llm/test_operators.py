@@ -228,11 +228,14 @@ def sentences(spark, sf="/root/testdata/sf0.01"):
 
 
 def test_toxicity(spark, odd, labels, none):
-    docs, own = sentences(spark)
+    docs, own = sentences(spark, "/root/testdata/sf0.1")
     found = toxicity.toxicity(docs.select("doc_id", "text"), own).select("doc_id", "toxicity.*")
     truth = {r.doc_id: r.toxic for r in own.collect()}
-    got = [(r.predicted, truth[r.doc_id]) for r in found.collect() if r.doc_id in truth]
-    assert sum(p for p, t in got if t == 0) == 0 and sum(p for p, t in got if t == 1) >= 0.6 * sum(t for _, t in got)
+    found = [(r.predicted, truth[r.doc_id], zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in found.collect() if r.doc_id in truth]
+    # A tenth of the toxic labels of sf0.1 lie on texts without any insult, as if by mistake.
+    for fold, least in ((True, 0.87), (False, 0.93)):
+        got = [(p, t) for p, t, held in found if held == fold]
+        assert sum(p for p, t in got if t == 0) == 0 and sum(p for p, t in got if t == 1) >= least * sum(t for _, t in got)
     out = toxicity.toxicity(odd, labels)
     assert out.count() == len(ODD) and out.columns == [*odd.columns, "toxicity"] and out.filter("toxicity.score is null or toxicity.score not between 0 and 1").isEmpty()
     assert toxicity.toxicity(none, labels).count() == 0 and toxicity.toxicity(odd, labels.filter("false")).filter("toxicity.predicted = 1").isEmpty()
@@ -272,7 +275,7 @@ def test_language(spark, odd, none):
     assert sum(r.language.lang == r.lang for r in held) >= 0.97 * len(held)
     out = language.identify(odd)
     assert {r.language.lang for r in out.collect()} == {"und"} and out.count() == len(ODD) and language.identify(none).count() == 0
-    m = language.LanguageModel.fit([("de", "und", 9), ("de", "straße", 4), ("en", "and", 9), ("en", "street", 4)])
+    m = language.model_of(spark.createDataFrame([("de", "und", 9), ("de", "straße", 4), ("en", "and", 9), ("en", "street", 4)], "lang string, word string, n long"))
     texts = pa.array(["und und", "straßen", "streets and", "12 !?", "中文", ""])
     named, score = m.predict(words(one_array(texts)))
     assert named[:4] == ["de", "de", "en", "und"] and named[4] == "de" and named[5] == "und" and score[4] == 0.5 and ((score >= 0) & (score <= 1)).all()
