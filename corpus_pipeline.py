@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's ``docs``. All but the last return the
-columns of documents.
+columns of documents, whatever further columns ``docs`` has (names beginning with
+``__`` are reserved). An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -28,28 +29,52 @@ TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents that the factorization machine rejects go."""
+    """Stage 1: documents that the factorization machine rejects go.
+
+    Null and empty texts have no term and stay; repeated rows are judged alike;
+    very long texts are judged whole; at exactly the threshold a document goes.
+    """
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return docs.filter(scored(model, F.col("text")) < THRESHOLD)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: of equal texts the document with the smallest identifier stays."""
+    """Stage 2: of equal texts the document with the smallest identifier stays.
+
+    Null counts as an empty text, so of all null and empty ones a single row
+    stays; a null identifier loses to any other; of repeated rows one stays; very
+    long texts are compared whole.
+    """
     return drop_exact_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: of documents linked by five-word shingles at 0.8 or more, the one with the smallest identifier stays."""
+    """Stage 3: of documents linked by five-word shingles at 0.8 or more, the one with the smallest identifier stays.
+
+    Texts without words are linked with nothing and stay; shorter ones than five
+    words are linked with equal ones; repeated rows of the identifier that stays
+    all stay, and so does a group without any identifier; very long texts are
+    compared whole.
+    """
     return drop_near_copies(docs, Likeness(words=5, num=80, den=100))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 4: the mixture, without repeating a document."""
-    return mix(docs, F.substring("source", 1, 4), F.col("lang"), F.col("source"), MIX_WEIGHTS, MIX_SHARE, 1, MIX_SEED).drop("mix")
+    """Stage 4: the mixture, without repeating a document.
+
+    Null names are the empty name; texts without characters cost nothing; a long
+    text that exceeds what its source has left ends the source's prefix; rows with
+    equal identifiers are taken or left together.
+    """
+    return mix(docs, F.substring("source", 1, 4), F.col("lang"), F.col("source"), MIX_WEIGHTS, MIX_SHARE, 1, MIX_SEED, out="__mix").drop("__mix")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: pieces of cost-balanced sequences with their token ids."""
+    """Stage 5: pieces of cost-balanced sequences with their token ids.
+
+    Null and empty texts are their end id alone; repeated rows are packed each;
+    long texts are cut into pieces that hold each id once.
+    """
     return pack(docs, TOKENIZER, END_ID)
 
 
