@@ -33,17 +33,46 @@ class BRange:
         return next(k for k, last in enumerate(self.lasts(), 1) if gid <= last)
 
 
+def _check(a: BRange, b: BRange, what: str) -> None:
+    if [x.n for x in a.blocks] != [x.n for x in b.blocks]:
+        raise ValueError(f"{what}: blocks of {[x.n for x in a.blocks]} and {[x.n for x in b.blocks]}")
+
+
 @dataclass(frozen=True)
 class BVector:
-    """``df`` is (block_i, gid, v)."""
+    """``df`` is (block_i, gid, v), own entries; ``parts`` are the blocks it was made of, with their ghosts."""
 
     df: DataFrame
     axis: BRange
+    parts: tuple[PVector, ...] = ()
 
     @staticmethod
     def of(blocks: list[PVector]) -> BVector:
         each = [b.gvec().select(F.lit(k).alias("block_i"), "gid", "v") for k, b in enumerate(blocks, 1)]
-        return BVector(reduce(DataFrame.unionByName, each), BRange([b.rows for b in blocks]))
+        return BVector(reduce(DataFrame.unionByName, each), BRange([b.rows for b in blocks]), tuple(blocks))
+
+    def _each(self, f: Callable[[PVector], PVector]) -> BVector:
+        return BVector.of([f(b) for b in (self.parts or [self.block(k + 1) for k in range(len(self.axis.blocks))])])
+
+    def consistent(self, rows: BRange | None = None) -> BVector:
+        """Ghosts of every block (of new layouts if given) get their owners' values."""
+        blocks = self.parts or tuple(self.block(k + 1) for k in range(len(self.axis.blocks)))
+        return BVector.of([b.consistent(None if rows is None else rows.blocks[k]) for k, b in enumerate(blocks)])
+
+    def assemble(self, op: str = "+") -> BVector:
+        """Ghost values of every block are combined into their owners; ghosts then are 0."""
+        return self._each(lambda b: b.assemble(op))
+
+    def _local(self, values: Callable[[PVector], DataFrame]) -> DataFrame:
+        blocks = self.parts or tuple(self.block(k + 1) for k in range(len(self.axis.blocks)))
+        return reduce(DataFrame.unionByName, [values(b).select(F.lit(k).alias("block_i"), "part", "gid", "v") for k, b in enumerate(blocks, 1)])
+
+    def own_values(self) -> DataFrame:
+        """(block_i, part, gid, v)."""
+        return self._local(PVector.own_values)
+
+    def ghost_values(self) -> DataFrame:
+        return self._local(PVector.ghost_values)
 
     def __len__(self) -> int:
         return len(self.axis)
@@ -62,6 +91,7 @@ class BVector:
         return BVector(joined.select("block_i", "gid", f(F.col("v"), F.col("w")).alias("v")), self.axis)
 
     def _joined(self, other: BVector) -> DataFrame:
+        _check(self.axis, other.axis, "block vectors")
         return self.df.join(other.df.withColumnRenamed("v", "w"), ["block_i", "gid"])
 
     def __add__(self, other: BVector) -> BVector:
@@ -78,6 +108,31 @@ class BVector:
     def reduce(self, op: str = "+"):
         return self.df.agg(F.coalesce(COMBINE[op]("v"), F.lit(NEUTRAL[op]))).first()[0]
 
+    def sum(self):
+        return self.reduce("+")
+
+    def maximum(self, f: Callable[[Column], Column] = lambda v: v):
+        return self.map(f).reduce("max")
+
+    def minimum(self, f: Callable[[Column], Column] = lambda v: v):
+        return self.map(f).reduce("min")
+
+    def any(self, f: Callable[[Column], Column]) -> bool:
+        return self.map(f).reduce("|")
+
+    def all(self, f: Callable[[Column], Column]) -> bool:
+        return self.map(f).reduce("&")
+
+    def fill(self, a) -> BVector:
+        return self.map(lambda _: F.lit(a))
+
+    def equals(self, other: BVector) -> bool:
+        """Whether blocks and own values are the same."""
+        if [x.n for x in self.axis.blocks] != [x.n for x in other.axis.blocks]:
+            return False
+        joined = self.df.join(other.df.withColumnRenamed("v", "w"), ["block_i", "gid"], "full_outer")
+        return joined.filter("not (v <=> w)").isEmpty()
+
     def dot(self, other: BVector) -> float:
         return self._joined(other).agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0))).first()[0]
 
@@ -115,7 +170,16 @@ class BMatrix:
     def map(self, f: Callable[[Column], Column]) -> BMatrix:
         return BMatrix(self.df.withColumn("v", f(F.col("v"))), self.rows, self.cols)
 
+    def fill_stored(self, a: float) -> BMatrix:
+        return self.map(lambda _: F.lit(float(a)))
+
+    def mul(self, x: BVector, alpha: float = 1.0, beta: float = 0.0, c: BVector | None = None) -> BVector:
+        """alpha A x + beta c."""
+        product = (self @ x) * alpha
+        return product if c is None or not beta else product + c * beta
+
     def __matmul__(self, x: BVector) -> BVector:
+        _check(self.cols, x.axis, "block product")
         layout = reduce(DataFrame.unionByName, [r.own().select(F.lit(k).alias("block_i"), "gid") for k, r in enumerate(self.rows.blocks, 1)])
         product = block_multiply(self.df, x.df)
         return BVector(layout.join(product, ["block_i", "gid"], "left").select("block_i", "gid", F.coalesce("v", F.lit(0.0)).alias("v")), self.rows)

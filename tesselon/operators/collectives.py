@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def map_main(df: DataFrame, f: Callable[[Column], Column], main: int | str = MAI
     return df.withColumn("x", F.when(F.col("part") == main, f(F.col("x"))).otherwise(F.lit(None) if otherwise is None else otherwise))
 
 
+def map_parts(df: DataFrame, f: Callable[[int, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``f(part, rows)`` on all rows of each part, which meet in one task; ``schema`` is that of its result."""
+    return df.groupBy("part").applyInPandas(lambda rows: f(int(rows["part"].iloc[0]), rows), schema)
+
+
+def any_item(df: DataFrame):
+    """The item of some part, the first that has one; null without any."""
+    found = df.agg(F.min_by("x", "part")).first()
+    return found[0]
+
+
 def _parts(df: DataFrame, parts: int) -> DataFrame:
     return parts_table(df.sparkSession, parts)
 
@@ -85,16 +97,27 @@ def reduction(df: DataFrame, init, destination: int | str = MAIN, op: str = "sum
     return out.select("part", value.alias("x"))
 
 
-def exchange_graph(snd: DataFrame, within: DataFrame | None = None) -> DataFrame:
+def exchange_graph(snd: DataFrame, within: DataFrame | None = None, rcv: DataFrame | None = None, symmetric: bool = False, find_rcv: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(src, snd_pos, dst, rcv_pos) from (src, snd_pos, dst).
 
     The receiving side is the same edges seen from dst, in order of src. With
-    ``within``, a graph of neighbours, every edge must be one of its edges.
+    ``within``, a graph of neighbours, every edge must be one of its edges. ``rcv``
+    (dst, rcv_pos, src) gives the receiving side instead and must have the same
+    edges; ``find_rcv`` makes it from the sending side; in a ``symmetric`` graph
+    every part receives from those it sends to, in the same order.
     """
     if within is not None and not snd.join(within.select("src", "dst"), ["src", "dst"], "left_anti").isEmpty():
         raise ValueError("an edge leads to a part that isn't a neighbour")
-    rcv = F.row_number().over(Window.partitionBy("dst").orderBy("src", "snd_pos"))
-    return snd.select("src", "snd_pos", "dst", rcv.alias("rcv_pos"))
+    if symmetric:
+        rcv = snd.select(F.col("src").alias("dst"), F.col("snd_pos").alias("rcv_pos"), F.col("dst").alias("src"))
+    elif find_rcv is not None:
+        rcv = find_rcv(snd)
+    if rcv is not None:
+        if not is_consistent(snd, rcv):
+            raise ValueError("the receiving side has other edges than the sending side")
+        return snd.join(rcv.select("src", "dst", "rcv_pos"), ["src", "dst"]).select("src", "snd_pos", "dst", "rcv_pos")
+    place = F.row_number().over(Window.partitionBy("dst").orderBy("src", "snd_pos"))
+    return snd.select("src", "snd_pos", "dst", place.alias("rcv_pos"))
 
 
 def reverse(graph: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .local import Local, aggregate, sweeps
+from .local import Local, aggregate, solve_block, sweeps
 from .matrix import PSparseMatrix, multiply
 from .prange import PRange, node_to_dof_partition, parts_table, variable_partition
 from .vector import PVector, from_gvec
@@ -49,10 +49,10 @@ def relax(a: PSparseMatrix, x: PVector, b: PVector, sweep: str = "symmetric") ->
     return from_gvec(out, a.cols)
 
 
-def schwarz(a: PSparseMatrix, r: PVector) -> PVector:
-    """Each part's own system solved for its part of ``r``."""
+def schwarz(a: PSparseMatrix, r: PVector, local_solver=solve_block) -> PVector:
+    """Each part's own system solved for its part of ``r``; ``local_solver(block, r)`` takes a part's matrix."""
     table = r.own().select("part", "gid", "v")
-    return from_gvec(_by_part(a, table, lambda block, rows: np.linalg.solve(block.dense(), rows.v.to_numpy(float))), a.cols)
+    return from_gvec(_by_part(a, table, lambda block, rows: local_solver(block, rows.v.to_numpy(float))), a.cols)
 
 
 def aggregates(a: PSparseMatrix, epsilon: float = 0.0) -> tuple[DataFrame, PRange]:

@@ -8,29 +8,34 @@ the join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 from .prange import PRange
-from .vector import COMBINE, PVector, from_gvec, pvector
+from .vector import COMBINE, PVector, from_gvec, pvector, pzeros, refill_vector
 
 #: Entries that a dense solve or a centralised copy on the driver may have.
 DENSE_ROWS, LOCAL_ENTRIES = 4_000, 5_000_000
 
 
-def compress(coo: DataFrame, m: int | None = None, n: int | None = None, combine: str = "+", by: tuple[str, ...] = ()) -> DataFrame:
-    """Triplets with each position once; ids below 1 or beyond the shape are dropped."""
+def compress(coo: DataFrame, m: int | None = None, n: int | None = None, combine: str | Callable[[Column], Column] = "+", by: tuple[str, ...] = ()) -> DataFrame:
+    """Triplets with each position once; ids below 1 or beyond the shape are dropped.
+
+    ``combine`` is a name of COMBINE, "first" (by ``pos``) or any aggregation of a column.
+    """
     used = coo.filter((F.col("gi") >= 1) & (F.col("gj") >= 1))
     if m is not None:
         used = used.filter((F.col("gi") <= m) & (F.col("gj") <= n))
     if combine == "first":
         value = F.min_by("v", "pos")
     else:
-        value = COMBINE[combine]("v")
+        value = combine(F.col("v")) if callable(combine) else COMBINE[combine]("v")
     return used.groupBy(*by, "gi", "gj").agg(value.alias("v"))
 
 
@@ -126,13 +131,20 @@ class PSparseMatrix:
         """The same entries under other owners."""
         if not self.assembled:
             raise ValueError("assemble before repartitioning")
+        self.rows.check_like(rows, "rows")
+        self.cols.check_like(cols, "columns")
         return PSparseMatrix(self.df, rows, cols)
 
-    def renumber(self) -> PSparseMatrix:
+    def repartition_system(self, b: PVector, rows: PRange, cols: PRange) -> tuple[PSparseMatrix, PVector]:
+        """Matrix and right-hand side under other owners."""
+        return self.repartition(rows, cols), b.repartition(rows)
+
+    def renumber(self, rows: PRange | None = None, cols: PRange | None = None) -> PSparseMatrix:
+        """Under contiguous ids; ``rows`` and ``cols`` are renumbered layouts that are there already."""
         i, j = self.rows.new_ids(), self.cols.new_ids()
         moved = self.df.join(i.select(F.col("gid").alias("gi"), F.col("new_gid").alias("__i")), "gi").join(j.select(F.col("gid").alias("gj"), F.col("new_gid").alias("__j")), "gj")
         extra = [] if self.assembled else ["part"]
-        return PSparseMatrix(moved.select(*extra, F.col("__i").alias("gi"), F.col("__j").alias("gj"), "v"), self.rows.renumber(), self.cols.renumber(), self.assembled)
+        return PSparseMatrix(moved.select(*extra, F.col("__i").alias("gi"), F.col("__j").alias("gj"), "v"), rows or self.rows.renumber(), cols or self.cols.renumber(), self.assembled)
 
     def submatrix(self, rows: DataFrame, cols: DataFrame) -> DataFrame:
         """Entries whose ids are in (gid) and (gid)."""
@@ -151,6 +163,10 @@ class PSparseMatrix:
         found = self.nonzeros(order).select("gi", "gj", "k")
         return wanted.join(found, ["gi", "gj"], "left").select("gi", "gj", F.coalesce("k", F.lit(0)).alias("k"))
 
+    def zeros(self) -> PVector:
+        """A vector of zeros that this can be multiplied with."""
+        return pzeros(self.cols.remove_ghost())
+
     def centralize(self) -> list[tuple[int, int, float]]:
         """All entries on the driver; an error beyond LOCAL_ENTRIES."""
         rows = self.triplets().limit(LOCAL_ENTRIES + 1).collect()
@@ -186,6 +202,8 @@ class PSparseMatrix:
         return self
 
     def __add__(self, other: PSparseMatrix) -> PSparseMatrix:
+        self.rows.check_like(other.rows, "rows")
+        self.cols.check_like(other.cols, "columns")
         both = self.triplets().unionByName(other.triplets())
         return PSparseMatrix(compress(both), self.rows, self.cols)
 
@@ -203,6 +221,8 @@ class PSparseMatrix:
     # -- products
 
     def __matmul__(self, other):
+        if self.cols.n != other.rows.n:
+            raise ValueError(f"product: {self.cols.n} columns and {other.rows.n} rows")
         if isinstance(other, PVector):
             return from_gvec(multiply(self.contributions(), other.gvec()), self.rows)
         return PSparseMatrix(multiply_all(self.triplets(), other.triplets()), self.rows, other.cols)
@@ -213,7 +233,12 @@ class PSparseMatrix:
         return product if c is None or not beta else product + c * beta
 
     def spmtm(self, other: PSparseMatrix) -> PSparseMatrix:
-        """Transposed self times other, joined on the rows without transposing."""
+        """Transposed self times other, joined on the rows without transposing.
+
+        A row of k entries makes k times k partial products before they are summed.
+        """
+        if self.rows.n != other.rows.n:
+            raise ValueError(f"product: {self.rows.n} and {other.rows.n} rows")
         right = other.triplets().select("gi", F.col("gj").alias("__j"), F.col("v").alias("__w"))
         joined = self.triplets().select("gi", F.col("gj").alias("__i"), "v").join(right, "gi")
         return PSparseMatrix(joined.groupBy(F.col("__i").alias("gi"), F.col("__j").alias("gj")).agg(F.sum(F.col("v") * F.col("__w")).alias("v")), self.cols, other.cols)
@@ -224,6 +249,8 @@ class PSparseMatrix:
 
     def scale_rows(self, d: PVector) -> PSparseMatrix:
         """diag(d) A."""
+        if self.rows.n != d.rows.n:
+            raise ValueError(f"{self.rows.n} rows and {d.rows.n} factors")
         joined = self.triplets().join(d.gvec().select(F.col("gid").alias("gi"), F.col("v").alias("__d")), "gi")
         return PSparseMatrix(joined.select("gi", "gj", (F.col("v") * F.col("__d")).alias("v")), self.rows, self.cols)
 
@@ -243,20 +270,51 @@ def sparse_diag_matrix(d: PVector) -> PSparseMatrix:
     return PSparseMatrix(d.gvec().select(F.col("gid").alias("gi"), F.col("gid").alias("gj"), "v"), d.rows, d.rows)
 
 
-def psparse(coo: DataFrame, rows: PRange, cols: PRange, assemble: bool = True, combine: str = "+", drop_offpart: bool = False) -> PSparseMatrix:
+def psparse(coo: DataFrame, rows: PRange, cols: PRange, assemble: bool = True, combine: str = "+", drop_offpart: bool = False, indices: str = "global", assembled: bool = False) -> PSparseMatrix:
     """From triplets (part, gi, gj, v) of any part for any position.
 
     ``assemble=False`` sums within each part only. ``drop_offpart`` keeps only
-    entries whose column the row's owner also owns.
+    entries whose column the row's owner also owns. With ``indices="local"`` the
+    ids are the part's local ones. ``assembled`` says that each owner has all of its
+    rows already: entries for rows of other parts are left out.
     """
+    if indices == "local":
+        coo = local_triplets(coo, rows, cols)
+    if assembled:
+        coo = rows.find_owner(coo.filter("gi >= 1"), "gi", "__r").filter("part = __r").drop("__r")
     if drop_offpart:
         coo = cols.find_owner(rows.find_owner(coo, "gi", "__r"), "gj", "__c").filter("__r = __c").drop("__r", "__c")
-    if assemble:
+    if assemble or assembled:
         raw = coo.filter((F.col("gi") >= 1) & (F.col("gj") >= 1)).select("gi", "gj", "v") if combine == "+" else None
         return PSparseMatrix(compress(coo, combine=combine), rows, cols, raw=raw)
     return PSparseMatrix(compress(coo, combine=combine, by=("part",)), rows, cols, assembled=False)
 
 
+def local_triplets(coo: DataFrame, rows: PRange, cols: PRange) -> DataFrame:
+    """(part, gi, gj, v) from triplets by local id; ids below 1 or unknown to the part are ignored."""
+    i = rows.index.select("part", F.col("lid").alias("gi"), F.col("gid").alias("__i"))
+    j = cols.index.select("part", F.col("lid").alias("gj"), F.col("gid").alias("__j"))
+    found = coo.join(i, ["part", "gi"]).join(j, ["part", "gj"])
+    return found.drop("gi", "gj").withColumnRenamed("__i", "gi").withColumnRenamed("__j", "gj")
+
+
+def psparse_by_part(rows: PRange, cols: PRange, f: Callable, assemble: bool = True) -> PSparseMatrix:
+    """``f(part, row gids)`` gives the triplets (gi, gj, v) of a part as a table or three arrays.
+
+    The ids come as a numpy array in local order. A part is handled in one task.
+    """
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        part = int(table["part"].iloc[0])
+        made = f(part, table.sort_values("lid")["gid"].to_numpy())
+        if not isinstance(made, pd.DataFrame):
+            made = pd.DataFrame(dict(zip(("gi", "gj", "v"), made, strict=True)))
+        return made[["gi", "gj", "v"]].assign(part=part)
+
+    coo = rows.index.select("part", "lid", "gid").groupBy("part").applyInPandas(run, "part int, gi long, gj long, v double")
+    return psparse(coo, rows, cols, assemble=assemble)
+
+
 def psparse_from_split_blocks(blocks: list[DataFrame], rows: PRange, cols: PRange, assembled: bool = True) -> PSparseMatrix:
     """From own-own, own-ghost[, ghost-own, ghost-ghost] blocks of (part, gi, gj, v)."""
     both = blocks[0].select("part", "gi", "gj", "v")
@@ -270,6 +328,11 @@ def psystem(coo: DataFrame, entries: DataFrame, rows: PRange, cols: PRange) -> t
     return psparse(coo, rows, cols), pvector(entries, rows)
 
 
+def refill_system(plan: DataFrame, values: DataFrame, vector_plan: DataFrame, vector_values: DataFrame, rows: PRange, cols: PRange) -> tuple[PSparseMatrix, PVector]:
+    """A system with new values at planned positions (see ``refill`` and ``refill_vector``)."""
+    return PSparseMatrix(refill(plan, values), rows, cols), refill_vector(vector_plan, vector_values, rows)
+
+
 def refill(plan: DataFrame, values: DataFrame) -> DataFrame:
     """New values at planned positions: ``plan`` (part, k, gi, gj), ``values`` (part, k, v)."""
     return compress(plan.join(values, ["part", "k"]))

@@ -1,7 +1,8 @@
 """Partitioned index ranges.
 
 ``index`` has a row for every local id: part, lid, gid, owner, own_id, ghost_id
-(0: not own, not a ghost). Ids below 1 are ignored wherever ids come in.
+(0: not own, not a ghost). Ids below 1 are ignored wherever ids come in. Local ids
+are 32-bit, so a part has fewer than 2^31 ids; more are an error, not a wrap.
 """
 
 from __future__ import annotations
@@ -83,8 +84,12 @@ class PRange:
         if self.owner_of is not None:
             return df.withColumn(out, self.owner_of(F.col(gid)))
         if self.blocks is not None:  # empty blocks own nothing
+            wide = max(1, -(-self.n // max(self.parts, 1)))
             real = self.blocks.filter("stop >= start").select(F.col("part").alias("__p"), F.col("start").alias("__a"), F.col("stop").alias("__b"))
-            found = df.join(F.broadcast(real) if self.parts <= 10_000 else real, (F.col(gid) >= F.col("__a")) & (F.col(gid) <= F.col("__b")), "left")
+            # Blocks meet ids in stretches of the average length, of which all blocks together touch two a block at most.
+            real = real.withColumn("__k", F.explode(F.sequence(ids.whole(F.col("__a") - 1, wide), ids.whole(F.col("__b") - 1, wide))))
+            keyed = df.withColumn("__k", ids.whole(F.col(gid).cast("long") - 1, wide))
+            found = keyed.join(real, (keyed["__k"] == real["__k"]) & F.col(gid).between(F.col("__a"), F.col("__b")), "left").drop("__k")
             return found.withColumn(out, F.coalesce("__p", F.lit(0)).cast("int")).drop("__p", "__a", "__b")
         table = self.owners if self.owners is not None else self.own().select("gid", "owner")
         table = table.select(F.col("gid").alias("__g"), F.col("owner").alias("__o"))
@@ -145,8 +150,15 @@ class PRange:
         """(gid, new_gid): contiguous ids that follow the parts."""
         return self.own().join(self.starts(), "part").select("gid", (F.col("start") + F.col("own_id") - 1).cast("long").alias("new_gid"))
 
-    def renumber(self) -> PRange:
-        """The same layout under contiguous ids; itself if it is one already."""
+    def renumber(self, local: bool = False) -> PRange:
+        """The same layout under contiguous ids; itself if it is one already.
+
+        With ``local`` the local ids change too: own ones first, then ghosts.
+        """
+        if local:
+            place = self.local_permutation().select("part", "lid", F.col("perm").cast("int").alias("__lid"))
+            moved = self.index.join(place, ["part", "lid"]).drop("lid").withColumnRenamed("__lid", "lid")
+            return replace(self, index=moved.select("part", "lid", "gid", "owner", "own_id", "ghost_id")).renumber()
         if self.blocks is not None:
             return self
         moved = self.index.join(self.new_ids(), "gid").drop("gid").withColumnRenamed("new_gid", "gid")
@@ -170,6 +182,11 @@ class PRange:
         own = self.own().select(F.col("part").alias("dst"), "gid", F.col("lid").alias("rcv_lid"))
         return ghost.join(own, ["dst", "gid"]).select("src", "dst", "gid", "snd_lid", "rcv_lid")
 
+    def check_like(self, other: PRange, what: str) -> None:
+        """An error unless both have as many ids and parts."""
+        if (self.n, self.parts) != (other.n, other.parts):
+            raise ValueError(f"{what}: {self} and {other} don't match")
+
     def matches(self, other: PRange, kind: str = "local") -> bool:
         """Whether the ids (local, own or ghost) are the same in the same order."""
         pick = {"local": ("lid", self.index, other.index), "own": ("own_id", self.own(), other.own()), "ghost": ("ghost_id", self.ghosts(), other.ghosts())}
@@ -246,9 +263,9 @@ def trivial_partition(spark: SparkSession, parts: int, n: int, destination: int
     return PRange(index, n, parts, lambda gid: F.when(gid < 1, 0).otherwise(F.lit(destination)).cast("int"))
 
 
-def from_local(local: DataFrame, n: int, parts: int) -> PRange:
-    """Any local ids in any order, from (part, lid, gid, owner)."""
-    return PRange(numbered(local.withColumn("own", F.col("part") == F.col("owner"))), n, parts)
+def from_local(local: DataFrame, n: int, parts: int, owner_of: Callable[[Column], Column] | None = None) -> PRange:
+    """Any local ids in any order, from (part, lid, gid, owner); ``owner_of`` says the owner of any id, where that is known."""
+    return PRange(numbered(local.withColumn("own", F.col("part") == F.col("owner"))), n, parts, owner_of)
 
 
 def node_to_dof_partition(nodes: PRange, per_node: int) -> PRange:

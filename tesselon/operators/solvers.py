@@ -13,7 +13,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from . import distributed
-from .local import Local
+from .local import Local, solve_block
 from .matrix import PSparseMatrix
 from .prange import trivial_partition
 from .vector import PVector, pones, prand, pzeros
@@ -37,8 +37,8 @@ def relax(a, x, b, sweep: str):
     return a.relax(x, b, sweep) if isinstance(a, Local) else distributed.relax(a, x, b, sweep)
 
 
-def schwarz(a, r):
-    return a.schwarz(r) if isinstance(a, Local) else distributed.schwarz(a, r)
+def schwarz(a, r, local_solver: Callable = solve_block):
+    return a.schwarz(r, local_solver) if isinstance(a, Local) else distributed.schwarz(a, r, local_solver)
 
 
 # -- problems
@@ -158,11 +158,17 @@ def jacobi_correction(problem: LinearProblem) -> LinearSolver:
     return linear_solver(problem, lambda a, _: a.diag().cut(), lambda x, d, b, state: (divide(b, d), "stop"), False)
 
 
-def richardson(problem: LinearProblem, make: Callable = identity_solver, iterations: int = 10, omega: float = 1.0) -> LinearSolver:
-    """x - omega P(A x - b), a given number of times."""
+def richardson(problem: LinearProblem, make: Callable = identity_solver, iterations: int = 10, omega: float = 1.0, update_p: Callable | None = None) -> LinearSolver:
+    """x - omega P(A x - b), a given number of times.
+
+    When the matrix changes, P is made anew, or becomes ``update_p(P, problem)``.
+    """
+    made: list[LinearSolver] = []
 
     def setup(a, nullspace):
-        return a, make(problem.update(matrix=a))
+        own = problem.update(matrix=a)
+        made.append(update_p(made[-1], own) if update_p and made else make(own))
+        return a, made[-1]
 
     def advance(x, ws, b, state):
         a, p = ws
@@ -187,12 +193,13 @@ def gauss_seidel(problem: LinearProblem, iterations: int = 1, sweep: str = "symm
     return linear_solver(problem, lambda a, _: a, advance)
 
 
-def additive_schwarz_correction(problem: LinearProblem) -> LinearSolver:
-    return linear_solver(problem, lambda a, _: a, lambda x, a, b, state: (schwarz(a, b), "stop"), False)
+def additive_schwarz_correction(problem: LinearProblem, local_solver: Callable = solve_block) -> LinearSolver:
+    """Each part's own system solved by ``local_solver(block, right-hand side)``."""
+    return linear_solver(problem, lambda a, _: a, lambda x, a, b, state: (schwarz(a, b, local_solver), "stop"), False)
 
 
-def additive_schwarz(problem: LinearProblem, iterations: int = 1) -> LinearSolver:
-    return richardson(problem, additive_schwarz_correction, iterations)
+def additive_schwarz(problem: LinearProblem, iterations: int = 1, local_solver: Callable = solve_block) -> LinearSolver:
+    return richardson(problem, lambda p: additive_schwarz_correction(p, local_solver), iterations)
 
 
 @dataclass
@@ -477,6 +484,77 @@ def newton_raphson(problem: NonlinearProblem, **options) -> NewtonRaphson:
     return NewtonRaphson(problem, **options)
 
 
+@dataclass(frozen=True)
+class TrustRegion:
+    """Dogleg steps within a trust radius, for starts from which plain Newton steps lead away.
+
+    A step is the Newton step where that lies within the radius, else a point of
+    the way from the steepest descent to it. The radius doubles after good steps at
+    its edge and shrinks after poor ones, which aren't taken.
+    """
+
+    problem: NonlinearProblem
+    solver: Callable = lu
+    iterations: int = 1000
+    residual_tol: float = 1e-8
+    radius: float | None = None
+    state: NewtonState | None = None
+
+    def update(self, **changes) -> TrustRegion:
+        return replace(self, problem=self.problem.update(**changes))
+
+    def step(self, state: NewtonState | str | None = None) -> tuple[TrustRegion, NewtonState | str]:
+        p = self.problem if state is not None else self.problem.at(self.problem.solution)
+        r, j = p.residual, p.jacobian
+        newton = _solve_linear(j, r, self.solver)
+        gradient = _times(_transposed(j), r)
+        image = _times(j, gradient)
+        size2, image2 = _dot(gradient, gradient), _dot(image, image)
+        cauchy = gradient * (size2 / image2) if image2 else newton
+        radius = self.radius if self.radius is not None else max(1.0, _dot(p.solution, p.solution) ** 0.5)
+        step = newton
+        if _dot(newton, newton) ** 0.5 > radius:
+            long = _dot(cauchy, cauchy) ** 0.5
+            if long >= radius:
+                step = cauchy * (radius / long)
+            else:
+                way = _minus(newton, cauchy)
+                a, b, c = _dot(way, way), 2 * _dot(cauchy, way), long**2 - radius**2
+                step = _plus(cauchy, way * ((-b + (b * b - 4 * a * c) ** 0.5) / (2 * a)))
+        tried = p.at(_minus(p.solution, step))
+        before = _dot(r, r)
+        expected = before - _dot(left := _minus(r, _times(j, step)), left)
+        gain = (before - _dot(tried.residual, tried.residual)) / expected if expected > 0 else 1.0
+        taken, long = gain > 1e-4, _dot(step, step) ** 0.5
+        radius = 2 * radius if gain > 0.75 and long >= 0.99 * radius else radius / 2 if gain < 0.25 else radius
+        p = tried if taken else p
+        done = NewtonState((state.iteration if state else 0) + 1, _largest(p.residual), _largest(step))
+        over = done.iteration >= self.iterations or done.residual_loss <= self.residual_tol
+        return replace(self, problem=p, radius=radius, state=done), "stop" if over else done
+
+    history, solve = LinearSolver.history, LinearSolver.solve
+
+
+def trust_region(problem: NonlinearProblem, **options) -> TrustRegion:
+    return TrustRegion(problem, **options)
+
+
+def _dot(a, b) -> float:
+    return a.dot(b) if hasattr(a, "dot") else float(a * b)
+
+
+def _plus(a, b):
+    return a.axpy(1.0, b) if hasattr(a, "axpy") else a + b
+
+
+def _times(j, x):
+    return j @ x if hasattr(j, "diag") else j * x
+
+
+def _transposed(j):
+    return j.T if hasattr(j, "diag") else j
+
+
 def nonlinear_problem(statement: Callable, solution, workspace=None) -> NonlinearProblem:
     return NonlinearProblem(statement, solution, workspace=workspace)
 

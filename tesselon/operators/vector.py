@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +63,11 @@ class PVector:
         return PVector(self.df.withColumn("v", f(F.col("v"))), self.rows)
 
     def zip(self, other: PVector, f: Callable[[Column, Column], Column]) -> PVector:
-        """f of both values; ghosts only where both share their layout, own entries otherwise."""
+        """f of both values; ghosts only where both share their layout, own entries otherwise.
+
+        Both must have as many ids and parts.
+        """
+        self.rows.check_like(other.rows, "vectors")
         if other.rows is self.rows:
             right = other.df.select("part", "lid", F.col("v").alias("__w"))
             joined = self.df.join(right, ["part", "lid"])
@@ -128,6 +133,7 @@ class PVector:
 
     def dot_column(self, other: PVector) -> DataFrame:
         """One row (dot)."""
+        self.rows.check_like(other.rows, "dot")
         right = other.gvec().withColumnRenamed("v", "w")
         return self.gvec().join(right, "gid").agg(F.coalesce(F.sum(F.col("v") * F.col("w")), F.lit(0.0)).alias("dot"))
 
@@ -141,10 +147,14 @@ class PVector:
         return self.own().agg(norm_of(F.col("v"), p)).first()[0] or 0.0
 
     def equals(self, other: PVector) -> bool:
+        """Whether the own values are the same; false for other lengths."""
+        if self.rows.n != other.rows.n:
+            return False
         joined = self.gvec().join(other.gvec().withColumnRenamed("v", "w"), "gid", "full_outer")
         return joined.filter("not (v <=> w)").isEmpty()
 
     def distance(self, other: PVector, metric: str) -> float:
+        self.rows.check_like(other.rows, "distance")
         joined = self.gvec().join(other.gvec().withColumnRenamed("v", "w"), "gid")
         return joined.agg(METRICS[metric](F.col("v"), F.col("w"))).first()[0]
 
@@ -170,14 +180,28 @@ class PVector:
 
     # -- layout
 
-    def repartition(self, rows: PRange) -> PVector:
-        """The same values under another layout's own entries."""
-        return self.consistent(rows.remove_ghost())
+    def assemble_arrays(self) -> PVector:
+        """``assemble`` for arrays as values: sums place by place; an array is as long as the longest that came."""
+        flat = self.df.select("gid", F.posexplode("v").alias("__k", "__x")).groupBy("gid", "__k").agg(F.sum("__x").alias("__x"))
+        whole = flat.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("__k", "__x"))).alias("__w"))
+        kind = self.df.schema["v"].dataType
+        joined = self.df.join(whole, "gid", "left").withColumn("v", F.when(F.col("own"), F.coalesce(F.transform("__w", lambda s: s["__x"]), F.array())).otherwise(F.transform("v", lambda _: F.lit(0))).cast(kind))
+        return PVector(joined.select("part", "lid", "gid", "owner", "own", "v"), self.rows)
+
+    def repartition(self, rows: PRange, reversed: bool = False) -> PVector:
+        """The same values under another layout's own entries.
+
+        ``reversed`` is the way back: ``rows`` is where the values came from, ghosts included.
+        """
+        self.rows.check_like(rows, "repartition")
+        return self.consistent(rows) if reversed else self.consistent(rows.remove_ghost())
 
-    def renumber(self) -> PVector:
-        new = self.rows.renumber()
+    def renumber(self, rows: PRange | None = None) -> PVector:
+        """Under contiguous ids; ``rows`` is a renumbered layout that is there already."""
+        new = rows or self.rows.renumber()
         if new is self.rows:
             return self
+        self.rows.check_like(new, "renumber")
         moved = self.df.join(self.rows.new_ids(), "gid").drop("gid").withColumnRenamed("new_gid", "gid")
         return PVector(moved.select("part", "lid", "gid", "owner", "own", "v"), new)
 
@@ -212,6 +236,11 @@ def norm_of(v: Column, p: float = 2) -> Column:
     return F.pow(F.sum(F.pow(F.abs(v), F.lit(float(p)))), F.lit(1.0 / p))
 
 
+def same_rows(a: PVector, b: PVector) -> bool:
+    """Whether both have the same own ids on the same parts in the same order."""
+    return a.rows is b.rows or ((a.rows.n, a.rows.parts) == (b.rows.n, b.rows.parts) and a.rows.matches(b.rows, "own"))
+
+
 # -- constructors
 
 
@@ -275,6 +304,36 @@ def pvector(entries: DataFrame, rows: PRange, assemble: bool = True, combine: st
     return PVector(out, wide)
 
 
+def local_entries(values: DataFrame, rows: PRange) -> DataFrame:
+    """(part, gid, ...) from entries by local id (part, lid, ...); ids below 1 or unknown to the part are ignored."""
+    return values.filter("lid >= 1").join(rows.index.select("part", "lid", "gid"), ["part", "lid"]).drop("lid")
+
+
+def already_assembled(entries: DataFrame, rows: PRange, combine: str = "+") -> PVector:
+    """From contributions of which each owner has all of its ids: those for ids of other parts are left out."""
+    own = rows.find_owner(entries.filter("gid >= 1"), "gid", "__o").filter("part = __o").drop("__o")
+    return pvector(own, rows, combine=combine)
+
+
+def pvector_by_part(rows: PRange, f: Callable, kind: str = "double") -> PVector:
+    """``f(part, gids)`` gives the values of a part's local ids, which come as a numpy array in local order.
+
+    A part is handled in one task, as whatever a part's own function does.
+    """
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("lid", ignore_index=True)
+        return table.assign(v=f(int(table["part"].iloc[0]), table["gid"].to_numpy()))
+
+    made = _layout(rows).groupBy("part").applyInPandas(run, f"part int, lid int, gid long, owner int, own boolean, v {kind}")
+    return PVector(made, rows)
+
+
+def refill_vector(plan: DataFrame, values: DataFrame, rows: PRange) -> PVector:
+    """New values at planned places: ``plan`` (part, k, gid), ``values`` (part, k, v)."""
+    return pvector(plan.join(values, ["part", "k"]).select("part", "gid", "v"), rows)
+
+
 def subassembled(values: DataFrame, rows: PRange) -> PVector:
     """From (part, lid, v) on local ids that exist already, ghosts included."""
     zero = F.lit(0).cast(values.schema["v"].dataType)
