@@ -1,8 +1,9 @@
 """The conjugate-gradient benchmark: a 27-point problem, geometric multigrid, reports.
 
-The problem is generated and assembled as tables. The timed iterations run on the
-local path (``local``), since an iteration of a small problem is all job overhead
-on a cluster; ``distributed=True`` runs the same steps on tables.
+The same steps run on two paths: on tables (``spark_setup``), where levels are
+distributed matrices, sweeps run part by part and moving between grids is
+arithmetic on ids; and on one machine (``pc_setup``), since an iteration of a small
+problem is all job overhead on a cluster.
 """
 
 from __future__ import annotations
@@ -14,10 +15,16 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..functions.ids import near_cubic
+from ..sources import gallery
+from . import distributed
 from .local import Local, Vector, sweeps
+from .matrix import PSparseMatrix, psparse
+from .vector import PVector, from_gvec
 
 #: Fixed by the benchmark: iterations of a set and multigrid levels.
 ITERATIONS, LEVELS = 50, 4
@@ -103,6 +110,58 @@ def pc_setup(parts: int, levels: int, nx: int, ny: int, nz: int) -> tuple[Multig
     return Multigrid(matrices, points), geometry, b
 
 
+@dataclass
+class SparkMultigrid:
+    """matrices and boxes from coarse to fine, on tables."""
+
+    matrices: list[PSparseMatrix]
+    shapes: list[tuple[int, int, int]]
+
+    def __call__(self, b: PVector) -> PVector:
+        return self.cycle(b, len(self.matrices) - 1)
+
+    def smooth(self, level: int, x: PVector, b: PVector) -> PVector:
+        return distributed.relax(self.matrices[level], x, b).cut()
+
+    def restrict(self, v: PVector, level: int) -> PVector:
+        """The values at every second point of each direction, on the level below."""
+        at = ids.coordinates(F.col("gid"), self.shapes[level])
+        odd = [c % 2 == 1 for c in at]
+        coarse = ids.linear_id([ids.whole(c + 1, 2) for c in at], self.shapes[level - 1])
+        return from_gvec(v.gvec().filter(odd[0] & odd[1] & odd[2]).select(coarse.alias("gid"), "v"), self.matrices[level - 1].rows)
+
+    def prolongate(self, v: PVector, level: int) -> DataFrame:
+        """(gid, v): the same values at the points of ``level``."""
+        at = ids.coordinates(F.col("gid"), self.shapes[level - 1])
+        return v.gvec().select(ids.linear_id([c * 2 - 1 for c in at], self.shapes[level]).alias("gid"), "v")
+
+    def cycle(self, b: PVector, level: int) -> PVector:
+        a = self.matrices[level]
+        x = self.smooth(level, a.zeros(), b)
+        if level:
+            coarse = self.cycle(self.restrict(b.axpy(-1.0, a @ x), level).cut(), level - 1)
+            x = x.axpy(1.0, from_gvec(self.prolongate(coarse, level), a.cols)).cut()
+            x = self.smooth(level, x, b)
+        return x
+
+
+def spark_setup(spark: SparkSession, parts: int, levels: int, nx: int, ny: int, nz: int) -> tuple[SparkMultigrid, Geometry, PVector]:
+    """``pc_setup`` on tables: nothing but sizes is on the driver."""
+    grid = near_cubic(parts)
+    box, matrices, shapes, b = (nx, ny, nz), [], [], None
+    for k in range(levels):
+        if k and any(n % 2 for n in box):
+            raise ValueError("every direction must have an even number of points")
+        box = tuple(n // 2 for n in box) if k else box
+        shape = tuple(g * n for g, n in zip(grid, box, strict=True))
+        coo, rhs, rows = gallery.hpcg_stencil(spark, shape, grid)
+        matrices.insert(0, psparse(coo, rows, rows).cut())
+        shapes.insert(0, shape)
+        b = from_gvec(rhs, rows).cut() if b is None else b
+    geometry = Geometry(nx, ny, nz, *grid, [m.nnz() for m in matrices], [math.prod(s) for s in shapes])
+    return SparkMultigrid(matrices, shapes), geometry, b
+
+
 def ref_cg(a, b, precondition, maxiter: int = ITERATIONS, tolerance: float = 0.0) -> tuple[Vector, list[float], dict[str, float]]:
     """The solution, residual norms over the first, and seconds by kind of step."""
     spent = {"total": 0.0, "dot": 0.0, "waxpby": 0.0, "spmv": 0.0, "mg": 0.0}
@@ -121,10 +180,10 @@ def ref_cg(a, b, precondition, maxiter: int = ITERATIONS, tolerance: float = 0.0
     while len(norms) < maxiter and (not norms or norms[-1] > tolerance):
         z = timed("mg", precondition, r)
         rho, last = timed("dot", r.dot, z), rho
-        p = z if p is None else timed("waxpby", z.axpy, rho / last, p)
-        q = timed("spmv", lambda: a @ p)
+        p = z if p is None else timed("waxpby", lambda: z.axpy(rho / last, p).cut())
+        q = timed("spmv", lambda: (a @ p).cut())
         alpha = rho / timed("dot", p.dot, q)
-        x, r = timed("waxpby", x.axpy, alpha, p), timed("waxpby", r.axpy, -alpha, q)
+        x, r = timed("waxpby", lambda: x.axpy(alpha, p).cut()), timed("waxpby", lambda: r.axpy(-alpha, q).cut())
         norms.append(timed("dot", r.norm) / norm0)
     spent["total"] = time.perf_counter() - began
     return x, norms, spent
@@ -140,10 +199,13 @@ def flop_counts(geometry: Geometry, iterations: int) -> dict[str, float]:
     return {"dot": dots, "waxpby": updates, "spmv": product_, "mg": mg, "total": dots + updates + product_ + mg}
 
 
-def hpcg_benchmark(parts: int, nx: int, ny: int, nz: int, total_runtime: float = 60.0, iterations: int = ITERATIONS, levels: int = LEVELS) -> dict:
-    """Set-up, reference sets that fix the tolerance, optimised sets to it, then timed sets for the runtime."""
+def hpcg_benchmark(parts: int, nx: int, ny: int, nz: int, total_runtime: float = 60.0, iterations: int = ITERATIONS, levels: int = LEVELS, spark: SparkSession | None = None) -> dict:
+    """Set-up, reference sets that fix the tolerance, optimised sets to it, then timed sets for the runtime.
+
+    With a session everything runs on tables.
+    """
     t = time.perf_counter()
-    mg, geometry, b = pc_setup(parts, levels, nx, ny, nz)
+    mg, geometry, b = pc_setup(parts, levels, nx, ny, nz) if spark is None else spark_setup(spark, parts, levels, nx, ny, nz)
     setup = time.perf_counter() - t
     a = mg.matrices[-1]
     _, norms, _ = ref_cg(a, b, mg, iterations)
@@ -156,7 +218,7 @@ def hpcg_benchmark(parts: int, nx: int, ny: int, nz: int, total_runtime: float =
     times = {k: {"max": max(r[k] for r in runs), "min": min(r[k] for r in runs), "avg": sum(r[k] for r in runs) / len(runs)} for k in runs[0]}
     return {
         "parts": parts,
-        "equations": a.m,
+        "equations": a.shape[0],
         "nonzeros": a.nnz(),
         "geometry": {"nx": nx, "ny": ny, "nz": nz, "npx": geometry.npx, "npy": geometry.npy, "npz": geometry.npz},
         "setup_seconds": setup,

@@ -131,8 +131,8 @@ class PSparseMatrix:
         """The same entries under other owners."""
         if not self.assembled:
             raise ValueError("assemble before repartitioning")
-        self.rows.check_like(rows, "rows")
-        self.cols.check_like(cols, "columns")
+        self.rows.check_like(rows, "rows", parts=False)
+        self.cols.check_like(cols, "columns", parts=False)
         return PSparseMatrix(self.df, rows, cols)
 
     def repartition_system(self, b: PVector, rows: PRange, cols: PRange) -> tuple[PSparseMatrix, PVector]:

@@ -182,9 +182,9 @@ class PRange:
         own = self.own().select(F.col("part").alias("dst"), "gid", F.col("lid").alias("rcv_lid"))
         return ghost.join(own, ["dst", "gid"]).select("src", "dst", "gid", "snd_lid", "rcv_lid")
 
-    def check_like(self, other: PRange, what: str) -> None:
-        """An error unless both have as many ids and parts."""
-        if (self.n, self.parts) != (other.n, other.parts):
+    def check_like(self, other: PRange, what: str, parts: bool = True) -> None:
+        """An error unless both have as many ids (and parts)."""
+        if self.n != other.n or (parts and self.parts != other.parts):
             raise ValueError(f"{what}: {self} and {other} don't match")
 
     def matches(self, other: PRange, kind: str = "local") -> bool:

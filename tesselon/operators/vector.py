@@ -193,7 +193,7 @@ class PVector:
 
         ``reversed`` is the way back: ``rows`` is where the values came from, ghosts included.
         """
-        self.rows.check_like(rows, "repartition")
+        self.rows.check_like(rows, "repartition", parts=False)
         return self.consistent(rows) if reversed else self.consistent(rows.remove_ghost())
 
     def renumber(self, rows: PRange | None = None) -> PVector:
@@ -201,7 +201,7 @@ class PVector:
         new = rows or self.rows.renumber()
         if new is self.rows:
             return self
-        self.rows.check_like(new, "renumber")
+        self.rows.check_like(new, "renumber", parts=False)
         moved = self.df.join(self.rows.new_ids(), "gid").drop("gid").withColumnRenamed("new_gid", "gid")
         return PVector(moved.select("part", "lid", "gid", "owner", "own", "v"), new)
 

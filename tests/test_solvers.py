@@ -1,11 +1,12 @@
 import json
+import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesselon.functions import jagged
-from tesselon.operators import distributed, hpcg
+from tesselon.operators import distributed, hpcg, solvers
 from tesselon.operators.local import Local, Vector, localise, sweeps
 from tesselon.operators.matrix import psparse
 from tesselon.operators.prange import uniform_partition
@@ -190,6 +191,48 @@ def test_benchmark(tmp_path):
     assert hpcg.report_results(r, "none") == "" and (tmp_path / "r.txt").exists()
 
 
+def test_benchmark_on_tables(spark):
+    mg, geometry, b = hpcg.spark_setup(spark, 2, 2, 4, 4, 4)
+    here, other, rhs = hpcg.pc_setup(2, 2, 4, 4, 4)
+    assert (geometry.nnz, geometry.rows) == (other.nnz, other.rows) and np.allclose(b.collect(), rhs)
+    x, norms, _ = hpcg.ref_cg(mg.matrices[-1], b, mg, 3)
+    want, ratios, _ = hpcg.ref_cg(here.matrices[-1], rhs, here, 3)
+    assert np.allclose(norms, ratios, rtol=1e-12) and np.allclose(x.collect(), want, rtol=1e-12)
+
+
+def test_trust_region_and_hooks(spark, laplace, here):
+    # Plain Newton steps lead away from the root of the arc tangent when they begin at 3.
+    arc = lambda x: (math.atan(x), 1 / (1 + x * x))
+    assert abs(solvers.trust_region(solvers.nonlinear_problem(arc, 3.0)).solve().problem.solution) < 1e-7
+    assert solvers.newton_raphson(solvers.nonlinear_problem(arc, 3.0), iterations=4).solve().state.residual_loss > 1
+    assert abs(solvers.trust_region(solvers.nonlinear_problem(lambda x: (x * x - 2, 2 * x), 10.0)).solve().problem.solution - 2**0.5) < 1e-8
+    a, b = here
+    calls = []
+
+    def local_solver(block, r):
+        calls.append(block.m)
+        return np.linalg.solve(block.dense(), r)
+
+    one = solvers.additive_schwarz(problem(a, b), 3, local_solver).solve().problem.solution
+    two = solvers.additive_schwarz(problem(a, b), 3).solve().problem.solution
+    assert calls and np.allclose(one, two)
+    seen = []
+    s = solvers.richardson(problem(a, b), solvers.jacobi_correction, 2, 0.5, update_p=lambda p, own: seen.append(1) or p.update(matrix=own.matrix))
+    s.update(matrix=a * 2.0)
+    assert seen == [1]
+
+
+def test_large_parts_are_solved_without_a_dense_block(monkeypatch):
+    from tesselon.operators import local
+
+    a = hpcg.build_local((6, 5, 4))[0]
+    b = np.random.default_rng(0).random(a.m)
+    want = np.linalg.solve(a.dense(), b)
+    monkeypatch.setattr(local, "DENSE_PART", 3)
+    monkeypatch.setattr(local.Local, "dense", lambda self: 1 / 0)
+    assert np.allclose(local.solve_block(a, b), want)
+
+
 def test_nested_arrays_and_timer(spark):
     nested = spark.createDataFrame([(1, [1, 2]), (2, [3, 4, 5]), (3, []), (4, [3, 4])], "k int, values array<int>")
     lengths = nested.select("k", F.size("values").alias("n"))

@@ -3,8 +3,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tesselon.operators.blocks import BVector
+from tesselon.operators.matrix import psparse, psparse_by_part
 from tesselon.operators.prange import partition_from_color, uniform_partition
-from tesselon.operators.vector import PVector, from_gvec, from_split_blocks, pfill, pones, prand, prandn, pvector, pzeros, subassembled
+from tesselon.operators.vector import PVector, from_gvec, from_split_blocks, pfill, pones, prand, prandn, pvector, pvector_by_part, pzeros, subassembled
 
 from .test_partitions import arbitrary
 
@@ -73,3 +75,31 @@ def test_layouts(spark):
     assert from_gvec(v.gvec().filter("gid > 8"), p).collect() == [0] * 8 + [9, 10]
     split = from_split_blocks(p.index.select("part", "own_id", F.lit(1.0).alias("v")), p.index.filter("false").select("part", "ghost_id", F.lit(1.0).alias("v")), p)
     assert split.collect() == [1.0] * 10
+
+
+def test_layouts_must_match(spark):
+    a, b = pfill(1.0, uniform_partition(spark, 2, 10)), pfill(1.0, uniform_partition(spark, 2, 6))
+    for f in (lambda: a + b, lambda: a.dot(b), lambda: a.distance(b, "cityblock"), lambda: a.axpy(2.0, b), lambda: a.repartition(b.rows), lambda: a + pfill(1.0, uniform_partition(spark, 5, 10))):
+        with pytest.raises(ValueError, match="match"):
+            f()
+    assert not a.equals(b)
+    m = psparse(spark.createDataFrame([(1, 1, 1, 2.0), (1, 10, 6, 3.0)], "part int, gi long, gj long, v double"), a.rows, b.rows)
+    for f in (lambda: m @ a, lambda: m + m.T, lambda: m @ m, lambda: m.spmtm(m.T), lambda: m.scale_rows(b), lambda: m.repartition(b.rows, b.rows)):
+        with pytest.raises(ValueError):
+            f()
+    assert (m @ b).collect() == [2.0, *[0.0] * 8, 3.0]
+    with pytest.raises(ValueError, match="blocks"):
+        BVector.of([a, b]).dot(BVector.of([b, a]))
+
+
+def test_entries_of_arrays(spark):
+    p = uniform_partition(spark, 2, 6, ghost=True)
+    v = PVector(pfill(0.0, p).df.withColumn("v", F.when(F.col("gid") == 4, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0), F.col("gid").cast("double")))), p)
+    assert {r.gid: r.v for r in v.assemble_arrays().gvec().collect()} == {g: [] if g == 4 else [n, n * g] for g, n in ((1, 1.0), (2, 1.0), (3, 2.0), (4, 2.0), (5, 1.0), (6, 1.0))}
+
+
+def test_builders_by_part(spark):
+    p = uniform_partition(spark, 3, 10)
+    assert pvector_by_part(p, lambda part, gids: gids * 10.0 + part).collect() == [g * 10.0 + part for g, part in zip(range(1, 11), (1, 1, 1, 2, 2, 2, 3, 3, 3, 3), strict=True)]
+    a = psparse_by_part(p, p, lambda part, gids: (gids, gids[::-1].copy(), gids * 0.0 + part))
+    assert sorted((r.gi, r.gj, r.v) for r in a.df.collect())[:3] == [(1, 3, 1.0), (2, 2, 1.0), (3, 1, 1.0)]
