@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import log10
 
 import numpy as np
@@ -49,14 +49,20 @@ COMMON = (
     "summer winter spring autumn monday friday january february march april june july august september "
     "october november december server database system token example sample demo temp hunter killer super "
     "world house home happy green blue black white orange silver golden flower cheese coffee computer "
-    "internet michael jordan thomas george charlie andrew daniel jessica jennifer ashley"
+    "internet michael jordan thomas george charlie andrew daniel jessica jennifer ashley "
+    "iloveyou superman batman access mustang soccer hockey starwars ranger harley buster tigger pepper ginger "
+    "matrix maggie cookie banana purple yellow diamond angel lovely family friend heaven phoenix tiger eagle "
+    "lion wolf bear horse kitty puppy rocket thunder storm magic power king queen prince knight angels chelsea "
+    "liverpool arsenal barcelona london paris berlin america england germany canada robert william david "
+    "joshua matthew anthony richard martin samantha nicole michelle amanda hannah sophie maria laura alex "
+    "sunday saturday tuesday thursday wednesday change manager service backup public private account office "
+    "company oracle mysql linux windows google samsung apple android cisco docker"
 ).split()
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 #: Slanted columns of the keyboard, both ways.
 COLUMNS = ("1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm", "8ik,", "9ol.", "0p;/", "zse4", "xdr5", "cft6", "vgy7", "bhu8", "nji9", "mko0", ",lp-", ".;[=")
 LEET = str.maketrans({"4": "a", "@": "a", "8": "b", "3": "e", "6": "g", "1": "i", "0": "o", "5": "s", "$": "s", "7": "t"})
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
-LONGEST_WORD = max(map(len, COMMON))
 LONGEST_DATE = 10
 LONGEST_BLOCK = 32
 
@@ -71,7 +77,17 @@ def _neighbours(rows: tuple[str, ...]) -> dict[str, set[str]]:
 
 
 NEXT, BELOW = _neighbours(ROWS), _neighbours(COLUMNS)
-RANK = {w: k + 1 for k, w in reversed([*enumerate(COMMON)])}
+
+
+def ranked(words: Iterable[str]) -> dict[str, int]:
+    """The rank of each word, from 1; letters stand for the digits that often replace them."""
+    found: dict[str, int] = {}
+    for w in words:
+        found.setdefault(w.lower().translate(LEET), len(found) + 1)
+    return found
+
+
+RANK = ranked(COMMON)
 
 
 def _alphabet(c: str) -> float:
@@ -94,7 +110,7 @@ def _useful(begins: list[int], cost: Callable[[int], float], latest: int) -> flo
     return least
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, rank_of: dict[str, int] = RANK) -> float:
     """The least cost of ``value`` in powers of ten, over all segmentations.
 
     A brute-force character costs its alphabet; a word its rank, case pattern and
@@ -108,7 +124,7 @@ def guess_cost(value: str) -> float:
     does a character before the run that belongs to it. Of two begins the earlier
     one gains as the run grows, so a later one that isn't cheaper now is given up.
     """
-    n = len(value)
+    n, longest = len(value), max(map(len, rank_of), default=0)
     lower = value.lower()
     plain = lower.translate(LEET)
     best = [0.0] + [float("inf")] * n
@@ -146,8 +162,8 @@ def guess_cost(value: str) -> float:
             own = _useful(known, lambda a, k=k, size=size: best[a] + log10(size) + 0.5 + log10((k - a) // size + 1) + 0.3, k - max(size, 2))
             if own < cost:
                 cost, kind = own, -size
-        for size in range(3, min(LONGEST_WORD, k) + 1):
-            rank = RANK.get(plain[k - size : k])
+        for size in range(3, min(longest, k) + 1):
+            rank = rank_of.get(plain[k - size : k])
             if rank:
                 part = value[k - size : k]
                 turned = 0.0 if part.islower() or not part.isalpha() else 0.3 if part.istitle() or part.isupper() else 1.0
@@ -164,7 +180,7 @@ def guess_cost(value: str) -> float:
 Span = tuple[int, int, str]
 
 
-def scan(data: bytes, guess_from: float = GUESS_FROM) -> list[Span]:
+def scan(data: bytes, guess_from: float = GUESS_FROM, rank_of: dict[str, int] = RANK) -> list[Span]:
     """(start, end, kind) in bytes, by start, then kind as listed, then end."""
     found: list[Span] = []
     for m in ASSIGN.finditer(data):
@@ -178,7 +194,7 @@ def scan(data: bytes, guess_from: float = GUESS_FROM) -> list[Span]:
         # In author or opinion the credential word is chance, so prose behind it says nothing.
         if PROSE.fullmatch(value) and not OWN.search(m.group(1)):
             continue
-        if len(value) >= 4 and guess_cost(value.decode("utf-8", "replace")) >= guess_from:
+        if len(value) >= 4 and guess_cost(value.decode("utf-8", "replace"), rank_of) >= guess_from:
             found.append((m.start(2), m.start(2) + len(value), "guess"))
     found.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
     return found
@@ -196,8 +212,9 @@ def shown(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def scanned(text: Column, guess_from: float = GUESS_FROM) -> Column:
+def scanned(text: Column, guess_from: float = GUESS_FROM, words: Iterable[str] = COMMON) -> Column:
     """A struct of counts, base_sha256 and spans as a column."""
+    rank_of = ranked(words)
     fields = ("n_assign", "n_access", "n_hex")
     schema = T.StructType([*(T.StructField(f, T.LongType()) for f in fields), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
     nothing = hashlib.sha256(b"").hexdigest()
@@ -211,7 +228,7 @@ def scanned(text: Column, guess_from: float = GUESS_FROM) -> Column:
             base, spans = [nothing] * n, [""] * n
             likely = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, ANY)))
             for k, data in zip(likely.tolist(), texts.take(pa.array(likely)).cast(pa.binary()).to_pylist(), strict=True):
-                found = in_points(data, scan(data, guess_from))
+                found = in_points(data, scan(data, guess_from, rank_of))
                 fixed = [s for s in found if s[2] != "guess"]
                 for s in fixed:
                     counts[KINDS.index(s[2]), k] += 1
@@ -222,12 +239,14 @@ def scanned(text: Column, guess_from: float = GUESS_FROM) -> Column:
     return run.asNondeterministic()(text)
 
 
-def find_secrets(df: DataFrame, text_col: str = "text", guess_from: float = GUESS_FROM) -> DataFrame:
+def find_secrets(df: DataFrame, text_col: str = "text", guess_from: float = GUESS_FROM, words: Iterable[str] = COMMON) -> DataFrame:
     """All rows and columns of ``df`` plus a struct ``secrets`` (n_assign, n_access, n_hex, base_sha256, spans).
 
-    Spans are kind:start:end in code points, end exclusive. Null text counts as
+    Spans are kind:start:end in code points, end exclusive. ``words`` are the words
+    that a cracker tries, the most common first; a list of leaked passwords makes
+    the costs sharper than the short one that comes with the operator. Null text counts as
     empty and has none; very long texts are searched whole; repeated rows are each
     searched; an empty table gives an empty result. Other columns pass
     through, but one named ``secrets`` is replaced.
     """
-    return df.withColumn("secrets", scanned(F.col(f"`{text_col}`"), guess_from))
+    return df.withColumn("secrets", scanned(F.col(f"`{text_col}`"), guess_from, words))

@@ -398,6 +398,7 @@ def test_guess_cost_is_the_least():
     for n in range(300):
         value = "".join(rng.choice(parts[: 3 + n % 13], rng.integers(1, 7))) * int(rng.integers(1, 4))
         assert cost(value) == pytest.approx(every_segmentation(value)), value
+    assert cost("Zaphodbeeblebrox") > 8 > cost("Zaphodbeeblebrox", secrets.ranked(["zaphod", "beeblebrox"]))
     for value in ("ab" * 5_000, "password1" * 500, "aab" * 2_000):
         assert cost(value) < 12
 
