@@ -210,10 +210,12 @@ def tiles_of(docs: DataFrame) -> DataFrame:
 
 def shared_tiles(rows: DataFrame) -> DataFrame:
     """(tile, nodes, node) of the keys (key, node) that several nodes have; keys with the same nodes are one tile."""
+    by, whole = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
+    rows = rows.withColumn("before", F.lag("node").over(by)).withColumn("after", F.lead("node").over(by))
+    rows = rows.filter("before is not null or after is not null")  # most keys have one row
     # Equal sets of other batches repeat rows, so a node counts where it comes first.
-    new = F.coalesce(F.lag("node").over(Window.partitionBy("key").orderBy("node")) != F.col("node"), F.lit(True))
-    whole = Window.partitionBy("key")
-    rows = rows.withColumn("new", new).withColumn("nodes", F.sum(F.col("new").cast("long")).over(whole))
+    rows = rows.select("key", "node", F.coalesce(F.col("before") != F.col("node"), F.lit(True)).alias("new"))
+    rows = rows.withColumn("nodes", F.sum(F.col("new").cast("long")).over(whole))
     # An exclusive or can't overflow, however many nodes there are.
     one, two = (F.bit_xor(F.when(F.col("new"), F.xxhash64("node", F.lit(k)))).over(whole) for k in (1, 2))
     rows = rows.withColumn("one", one).withColumn("two", two).filter("nodes > 1 and new")
