@@ -25,9 +25,9 @@ from .words import slices, tidy
 
 CAPACITY = 4096
 #: Tokens that are packed together.
-WINDOW = 2_000_000
+WINDOW = 1_000_000
 #: Texts that are encoded together; more share more words.
-ENCODED = 1500
+ENCODED = 1000
 #: Room for the sequence numbers of one task.
 TASK_BITS = 40
 
