@@ -52,7 +52,7 @@ SEEN = 256
 HOT_SAMPLE, HOT_SEEN, HOT_KEYS = 1024, 16, 100_000
 
 #: Texts whose sets a worker makes at once.
-SET_SLICE = 500
+SLICE = 500
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,7 +167,7 @@ def rows_of(df: DataFrame, id_col: str, text_col: str, like: Likeness) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, texts in enumerate(slices(batch.column(2), SET_SLICE)):
+            for k, texts in enumerate(slices(batch.column(2), SLICE)):
                 sets, starts = shingle_sets(texts, like.words)
                 node, check = set_names(sets, starts)
                 n = np.diff(starts)
@@ -178,7 +178,7 @@ def rows_of(df: DataFrame, id_col: str, text_col: str, like: Likeness) -> DataFr
                 text, key = text[first[text]], key[first[text]]  # equal sets have equal keys
                 ends = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(n))))).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[np.argsort(text, kind="stable")].view(np.int64)))
-                own = batch.slice(k * SET_SLICE, SET_SLICE)
+                own = batch.slice(k * SLICE, SLICE)
                 columns = [own.column(0), own.column(1), pa.array(n), pa.array(node.view(np.int64), mask=n == 0), pa.array(check.view(np.int64)), pa.array(maps, pa.binary()), keys]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "n_shingles", "node", "check", "bitmap", "keys"])
             tidy()

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .words import words
+from .words import tidy, words
 
 #: Pieces whose ids a worker remembers, at most; the first ones, among which the frequent ones are.
 REMEMBERED = 100_000
@@ -119,7 +119,9 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(name: str) -> Codec:
     """The codec of this worker for a file."""
-    return Codec(name)
+    made = Codec(name)
+    tidy()  # reading the file takes more than the codec keeps
+    return made
 
 
 def with_end(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -35,13 +35,17 @@ SLICE = 1000
 
 
 def slices(texts: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
-    """A batch in parts that bound a worker's memory; one empty part for an empty batch."""
+    """A batch in parts that bound a worker's memory; one empty part for an empty batch.
+
+    What a part has taken is given back before the next one comes.
+    """
     for k in range(0, max(len(texts), 1), size):
         yield one_array(texts.slice(k, size))
+        tidy()
 
 
 def tidy() -> None:
-    """Give back what an idle worker would otherwise keep for its next task."""
+    """Give back what this worker would otherwise keep."""
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
