@@ -44,7 +44,7 @@ def relax(a: PSparseMatrix, x: PVector, b: PVector, sweep: str = "symmetric") ->
     """A Gauss-Seidel sweep in each part; ghost values stay as they were."""
     outside = a.own_ghost_values().select("gi", "gj", "v")
     table = b.own().select("part", "gid", F.col("v").alias("b")).join(x.gvec().withColumnRenamed("v", "x"), "gid")
-    table = table.join(multiply(outside, x.gvec()).withColumnRenamed("v", "o"), "gid", "left").select("part", "gid", "x", (F.col("b") - F.coalesce("o", F.lit(0.0))).alias("b"))
+    table = table.join(multiply(outside, x.gvec(), x.rows.n).withColumnRenamed("v", "o"), "gid", "left").select("part", "gid", "x", (F.col("b") - F.coalesce("o", F.lit(0.0))).alias("b"))
     out = _by_part(a, table, lambda block, rows: sweeps(block, rows.x.to_numpy(float).copy(), rows.b.to_numpy(float), sweep))
     return from_gvec(out, a.cols)
 

@@ -22,6 +22,8 @@ from .vector import COMBINE, PVector, from_gvec, pvector, pzeros, refill_vector
 
 #: Entries that a dense solve or a centralised copy on the driver may have.
 DENSE_ROWS, LOCAL_ENTRIES = 4_000, 5_000_000
+#: Entries of a vector that is broadcast in a product.
+BROADCAST_IDS = 500_000
 
 
 def compress(coo: DataFrame, m: int | None = None, n: int | None = None, combine: str | Callable[[Column], Column] = "+", by: tuple[str, ...] = ()) -> DataFrame:
@@ -39,9 +41,14 @@ def compress(coo: DataFrame, m: int | None = None, n: int | None = None, combine
     return used.groupBy(*by, "gi", "gj").agg(value.alias("v"))
 
 
-def multiply(a: DataFrame, x: DataFrame) -> DataFrame:
-    """(gid, v): rows of ``a`` times the vector (gid, v); rows without entries are missing."""
+def multiply(a: DataFrame, x: DataFrame, n: int | None = None) -> DataFrame:
+    """(gid, v): rows of ``a`` times the vector (gid, v); rows without entries are missing.
+
+    ``n`` is how many entries the vector has at most, where that is known: one of at
+    most BROADCAST_IDS goes to the matrix, which then isn't shuffled by column.
+    """
     right = x.select(F.col("gid").alias("gj"), F.col("v").alias("__x"))
+    right = F.broadcast(right) if n is not None and n <= BROADCAST_IDS else right
     return a.join(right, "gj").groupBy(F.col("gi").alias("gid")).agg(F.sum(F.col("v") * F.col("__x")).alias("v"))
 
 
@@ -224,7 +231,7 @@ class PSparseMatrix:
         if self.cols.n != other.rows.n:
             raise ValueError(f"product: {self.cols.n} columns and {other.rows.n} rows")
         if isinstance(other, PVector):
-            return from_gvec(multiply(self.contributions(), other.gvec()), self.rows)
+            return from_gvec(multiply(self.contributions(), other.gvec(), other.rows.n), self.rows)
         return PSparseMatrix(multiply_all(self.triplets(), other.triplets()), self.rows, other.cols)
 
     def mul(self, x: PVector, alpha: float = 1.0, beta: float = 0.0, c: PVector | None = None) -> PVector:
