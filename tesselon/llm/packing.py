@@ -26,8 +26,8 @@ from .words import slices, tidy
 CAPACITY = 4096
 #: Tokens that are packed together.
 WINDOW = 1_000_000
-#: Texts that are encoded together; more share more words.
-ENCODED = 1000
+#: Texts that are encoded together; more share more words and take more memory.
+ENCODED = 3000
 #: Room for the sequence numbers of one task.
 TASK_BITS = 40
 
@@ -85,7 +85,7 @@ def spread(lengths: np.ndarray, capacity: int = CAPACITY, quadratic: float = 1 /
     return pieces, used
 
 
-def windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, window: int, together: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(identifiers, ids, starts) of at most ``window`` tokens, or of one longer document."""
     encode = codec(tokenizer).encode
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
@@ -96,7 +96,7 @@ def windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
         lengths = np.concatenate([h[2] for h in held])
         return names, np.concatenate([h[1] for h in held]), np.concatenate(([0], np.cumsum(lengths)))
 
-    encoded = ((batch.column(0).slice(k * ENCODED, ENCODED), with_end(*encode(texts), end_id)) for batch in batches for k, texts in enumerate(slices(batch.column(1), ENCODED)))
+    encoded = ((batch.column(0).slice(k * together, together), with_end(*encode(texts), end_id)) for batch in batches for k, texts in enumerate(slices(batch.column(1), together)))
     for own, (ids, starts) in encoded:
         at, n = 0, len(own)
         while at < n:
@@ -112,12 +112,12 @@ def windows(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int, wind
         yield joined()
 
 
-def streamed(tokenizer: str, end_id: int, window: int, make: Callable[[pa.Array, np.ndarray, np.ndarray, int], tuple[pa.RecordBatch, int]]):
+def streamed(tokenizer: str, end_id: int, window: int, together: int, make: Callable[[pa.Array, np.ndarray, np.ndarray, int], tuple[pa.RecordBatch, int]]):
     """A function for mapInArrow that packs window after window; ``make`` also gets the first free sequence number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free = TaskContext.get().partitionId() << TASK_BITS
-        for names, ids, starts in windows(batches, tokenizer, end_id, window):
+        for names, ids, starts in windows(batches, tokenizer, end_id, window, together):
             out, used = make(names, ids, starts, free)
             free += used
             step = 4000
@@ -142,6 +142,7 @@ def pack(
     capacity: int = CAPACITY,
     quadratic: float = 1 / CAPACITY,
     window: int = WINDOW,
+    together: int = ENCODED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
@@ -150,7 +151,8 @@ def pack(
     end alone; repeated rows are packed each; a null identifier stays null; an
     empty table gives no pieces; a document of any length is cut into pieces that
     hold each id once. Other columns are ignored. Sequence numbers are unique and
-    depend on how the input is split into tasks.
+    depend on how the input is split into tasks. ``window`` (tokens packed together)
+    and ``together`` (texts encoded together) bound a worker's memory.
     """
     schema = T.StructType(
         [T.StructField("doc_id", df.schema[id_col].dataType)]
@@ -166,4 +168,4 @@ def pack(
         columns = [names.take(pa.array(d)), pa.array(start), pa.array(n), binary(ids, starts[d] + start, n), pa.array(lengths[d]), pa.array(at + free), pa.array(offset)]
         return pa.RecordBatch.from_arrays(columns, schema.names), used
 
-    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(streamed(tokenizer, end_id, window, make), schema)
+    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(streamed(tokenizer, end_id, window, together, make), schema)

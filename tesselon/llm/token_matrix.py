@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .packing import CAPACITY, WINDOW, Piece, streamed
+from .packing import CAPACITY, ENCODED, WINDOW, Piece, streamed
 
 
 class Rooms:
@@ -79,6 +79,7 @@ def token_matrix(
     text_col: str = "text",
     capacity: int = CAPACITY,
     window: int = WINDOW,
+    together: int = ENCODED,
 ) -> DataFrame:
     """One row per sequence, a row of the packed id matrix.
 
@@ -126,7 +127,7 @@ def token_matrix(
         ]
         return pa.RecordBatch.from_arrays(columns, schema.names), used
 
-    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(streamed(tokenizer, end_id, window, make), schema)
+    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(streamed(tokenizer, end_id, window, together, make), schema)
 
 
 def write_token_matrix(packed: DataFrame, path: str) -> None:
