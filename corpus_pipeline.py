@@ -26,6 +26,8 @@ from tesselon.plans.lineage import checkpoint_dir
 MIX_WEIGHTS = {"domain": {"src0": 2, "src1": 3}, "language": {"en": 4, "de": 2}}
 MIX_SHARE, MIX_SEED = 0.8, 7
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
+#: Texts that a worker encodes together; by this stage executors hold what earlier ones left.
+TOGETHER = 1000
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are their end id alone; repeated rows are packed each;
     long texts are cut into pieces that hold each id once.
     """
-    return pack(docs, TOKENIZER, END_ID)
+    return pack(docs, TOKENIZER, END_ID, together=TOGETHER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
