@@ -36,12 +36,12 @@ SPARE = 1
 #: Documents and shingles of a chunk of a large block, about.
 CHUNK_DOCS, CHUNK_SHINGLES = 2048, 1_000_000
 #: Shingles of small blocks that share a task, about.
-BUNDLE_SHINGLES = 500_000
+BUNDLE_SHINGLES = 200_000
 #: Candidate rows that are broadcast to the texts at most; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 BITS_LEAST, BITS_MOST = 64, 32_768
 #: Nodes of a chunk of a large tile, and tile rows that share a task, about.
-CHUNK_NODES, BUNDLE_ROWS = 8192, 100_000
+CHUNK_NODES, BUNDLE_ROWS = 8192, 25_000
 #: Tiles of so many nodes at most are compared together, all pairs of each at once.
 FEW = 8
 #: Nodes of a tile whose pairs are compared in one step; larger ones go node by node.
