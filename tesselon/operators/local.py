@@ -332,7 +332,7 @@ def aggregate(a: Local, epsilon: float) -> tuple[np.ndarray, int]:
 
 def localise(matrix, vector=None):
     """A distributed matrix (and vector) as a local one with the rows' parts; raises when it is too large."""
-    entries = np.array(matrix.centralize(), float).reshape(-1, 3)
+    entries = matrix.entries()
     owners = np.array([(r.gid, r.part) for r in matrix.rows.own().select("gid", "part").collect()], np.int64)
     part = np.ones(matrix.shape[0], np.int64)
     part[owners[:, 0] - 1] = owners[:, 1]

@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .prange import PRange
+from .prange import PRange, trivial_partition
 from .vector import COMBINE, PVector, from_gvec, pvector, pzeros, refill_vector
 
-#: Entries that a dense solve or a centralised copy on the driver may have.
+#: Rows that a dense solve and entries that an array on the driver may have.
 DENSE_ROWS, LOCAL_ENTRIES = 4_000, 5_000_000
 #: Entries of a vector that is broadcast in a product.
 BROADCAST_IDS = 500_000
@@ -174,19 +174,25 @@ class PSparseMatrix:
         """A vector of zeros that this can be multiplied with."""
         return pzeros(self.cols.remove_ghost())
 
-    def centralize(self) -> list[tuple[int, int, float]]:
-        """All entries on the driver; an error beyond LOCAL_ENTRIES."""
-        rows = self.triplets().limit(LOCAL_ENTRIES + 1).collect()
-        if len(rows) > LOCAL_ENTRIES:
+    def centralize(self, destination: int = 1) -> PSparseMatrix:
+        """The whole matrix as rows and columns of one part, still a table of any size; see ``entries`` for arrays."""
+        spark = self.df.sparkSession
+        rows, cols = (trivial_partition(spark, r.parts, r.n, destination) for r in (self.rows, self.cols))
+        return self.assemble().repartition(rows, cols)
+
+    def entries(self) -> np.ndarray:
+        """(gi, gj, v) of all entries as an array on the driver; an error beyond LOCAL_ENTRIES."""
+        table = self.triplets().select(*(F.col(c).cast("double").alias(c) for c in ("gi", "gj", "v"))).limit(LOCAL_ENTRIES + 1).toArrow()
+        if table.num_rows > LOCAL_ENTRIES:
             raise ValueError("too many entries for one machine")
-        return [(r.gi, r.gj, r.v) for r in rows]
+        return np.column_stack([c.to_numpy() for c in table.columns])
 
     def dense(self) -> np.ndarray:
         if max(self.shape) > DENSE_ROWS:
             raise ValueError(f"more than {DENSE_ROWS} rows")
         out = np.zeros(self.shape)
-        for i, j, v in self.centralize():
-            out[i - 1, j - 1] += v
+        i, j, v = self.entries().T
+        np.add.at(out, (i.astype(int) - 1, j.astype(int) - 1), v)
         return out
 
     # -- values

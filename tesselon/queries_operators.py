@@ -338,8 +338,8 @@ def tuples_of_arrays(spark, sf):
 
 @query("centralize", MAT)
 def centralize(spark, sf):
-    """All entries through the driver."""
-    return spark.createDataFrame([(i, j, float(v)) for i, j, v in matrix(spark, sf).centralize()], "gi long, gj long, v double")
+    """The own rows and columns of the part that all of the matrix has gone to."""
+    return matrix(spark, sf).centralize().own_own_values().select("gi", "gj", "v")
 
 
 @query("psparse_function", f"SELECT gid AS gi, 1 + gid % {SUPPLIERS} AS gj, CAST({own_part('gid', ORDERS)} AS DOUBLE) AS v FROM range(1, {ORDERS} + 1) t(gid)")

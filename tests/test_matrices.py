@@ -123,3 +123,16 @@ def test_files(spark, tmp_path):
     a = m4(spark)
     tables.write_coo(a.df, str(tmp_path / "a.parquet"))
     assert tables.read_coo(spark, str(tmp_path / "a.parquet")).count() == a.nnz()
+
+
+def test_centralize_keeps_entries_off_the_driver(spark, monkeypatch):
+    from tesselon.operators import matrix as module
+
+    monkeypatch.setattr(module, "LOCAL_ENTRIES", 5)
+    rows = uniform_partition(spark, 3, 10)
+    a = psparse(spark.range(1, 11).selectExpr("1 AS part", "id AS gi", "11 - id AS gj", "double(id) AS v"), rows, rows)
+    one = a.centralize(2)
+    assert sorted(map(tuple, one.own_own_values().select("part", "gi", "gj", "v").collect())) == [(2, k, 11 - k, float(k)) for k in range(1, 11)]
+    assert one.rows.parts == 3 and one.own_ghost_values().isEmpty()
+    with pytest.raises(ValueError, match="too many entries"):
+        a.entries()
