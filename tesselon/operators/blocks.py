@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS
-from .matrix import PSparseMatrix
+from ..plans.sizing import ROWS_PER_TASK, spread, total
+from .matrix import BROADCAST_IDS, PSparseMatrix
 from .prange import PRange
 from .vector import COMBINE, NEUTRAL, PVector, from_gvec, norm_of
 
@@ -150,11 +151,19 @@ class BMatrix:
     df: DataFrame
     rows: BRange
     cols: BRange
+    #: Contributions whose sum this is, where they are known: products need no assembly.
+    raw: DataFrame | None = None
+    #: How many entries (and contributions) there are at most, where that is known.
+    entries_bound: int | None = None
 
     @staticmethod
     def of(blocks: list[list[PSparseMatrix]]) -> BMatrix:
-        each = [m.triplets().select(F.lit(i).alias("block_i"), F.lit(j).alias("block_j"), "gi", "gj", "v") for i, row in enumerate(blocks, 1) for j, m in enumerate(row, 1)]
-        return BMatrix(reduce(DataFrame.unionByName, each), BRange([r[0].rows for r in blocks]), BRange([m.cols for m in blocks[0]]))
+        def table(values: Callable[[PSparseMatrix], DataFrame]) -> DataFrame:
+            each = [values(m).select(F.lit(i).alias("block_i"), F.lit(j).alias("block_j"), "gi", "gj", "v") for i, row in enumerate(blocks, 1) for j, m in enumerate(row, 1)]
+            return reduce(DataFrame.unionByName, each)
+
+        most = total(*(m.entries_bound for row in blocks for m in row))
+        return BMatrix(table(PSparseMatrix.triplets), BRange([r[0].rows for r in blocks]), BRange([m.cols for m in blocks[0]]), table(PSparseMatrix.contributions), most)
 
     @property
     def shape(self) -> tuple[int, int]:
@@ -162,13 +171,13 @@ class BMatrix:
 
     def block(self, i: int, j: int) -> PSparseMatrix:
         own = self.df.filter((F.col("block_i") == i) & (F.col("block_j") == j)).select("gi", "gj", "v")
-        return PSparseMatrix(own, self.rows.blocks[i - 1], self.cols.blocks[j - 1])
+        return PSparseMatrix(own, self.rows.blocks[i - 1], self.cols.blocks[j - 1], entries_bound=self.entries_bound)
 
     def nnz(self) -> int:
         return self.df.count()
 
     def map(self, f: Callable[[Column], Column]) -> BMatrix:
-        return BMatrix(self.df.withColumn("v", f(F.col("v"))), self.rows, self.cols)
+        return BMatrix(self.df.withColumn("v", f(F.col("v"))), self.rows, self.cols, entries_bound=self.entries_bound)
 
     def fill_stored(self, a: float) -> BMatrix:
         return self.map(lambda _: F.lit(float(a)))
@@ -180,12 +189,27 @@ class BMatrix:
 
     def __matmul__(self, x: BVector) -> BVector:
         _check(self.cols, x.axis, "block product")
-        layout = reduce(DataFrame.unionByName, [r.own().select(F.lit(k).alias("block_i"), "gid") for k, r in enumerate(self.rows.blocks, 1)])
-        product = block_multiply(self.df, x.df)
-        return BVector(layout.join(product, ["block_i", "gid"], "left").select("block_i", "gid", F.coalesce("v", F.lit(0.0)).alias("v")), self.rows)
+        layout = reduce(DataFrame.unionByName, [r.own().select(F.lit(k).alias("block_i"), "gid", F.lit(0.0).alias("v")) for k, r in enumerate(self.rows.blocks, 1)])
+        found = block_multiply(self.raw if self.raw is not None else self.df, x.df, len(x), self.entries_bound, len(self.rows), layout)
+        return BVector(found, self.rows)
+
 
+def block_multiply(a: DataFrame, x: DataFrame, n: int | None = None, entries: int | None = None, rows: int | None = None, layout: DataFrame | None = None) -> DataFrame:
+    """(block_i, gid, v): one join on block and id, one aggregation.
 
-def block_multiply(a: DataFrame, x: DataFrame) -> DataFrame:
-    """(block_i, gid, v): one join on block and id, one aggregation."""
+    ``n``, ``entries`` and ``rows`` are how many entries the vector and the matrix
+    and how many rows the result have at most, where that is known. ``layout``
+    (block_i, gid, v of 0) has rows to be there without entries too.
+    """
     right = x.select(F.col("block_i").alias("block_j"), F.col("gid").alias("gj"), F.col("v").alias("__x"))
-    return a.join(right, ["block_j", "gj"]).groupBy("block_i", F.col("gi").alias("gid")).agg(F.sum(F.col("v") * F.col("__x")).alias("v"))
+    if n is not None and n <= BROADCAST_IDS:
+        joined = a.join(F.broadcast(right), ["block_j", "gj"])
+    else:
+        most = None if n is None or entries is None else max(n, entries)
+        joined = spread(a, most, "block_j", "gj").join(spread(right, most, "block_j", "gj"), ["block_j", "gj"])
+    products = joined.select("block_i", F.col("gi").alias("gid"), (F.col("v") * F.col("__x")).alias("v"))
+    if layout is not None:
+        products = products.unionByName(layout)
+    if rows is None or rows > ROWS_PER_TASK:
+        products = spread(products, entries if layout is None else total(entries, rows), "block_i", "gid")
+    return products.groupBy("block_i", "gid").agg(F.sum("v").alias("v"))

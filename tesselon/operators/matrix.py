@@ -17,18 +17,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from ..plans.sizing import ROWS_PER_TASK, per_key, spread, total
 from .prange import PRange, trivial_partition
 from .vector import COMBINE, PVector, from_gvec, pvector, pzeros, refill_vector
 
 #: Rows that a dense solve and entries that an array on the driver may have.
 DENSE_ROWS, LOCAL_ENTRIES = 4_000, 5_000_000
-#: Entries of a vector that is broadcast in a product.
+#: Entries of a vector or matrix that is broadcast in a product.
 BROADCAST_IDS = 500_000
 
 
-def compress(coo: DataFrame, m: int | None = None, n: int | None = None, combine: str | Callable[[Column], Column] = "+", by: tuple[str, ...] = ()) -> DataFrame:
+def compress(coo: DataFrame, m: int | None = None, n: int | None = None, combine: str | Callable[[Column], Column] = "+", by: tuple[str, ...] = (), entries: int | None = None) -> DataFrame:
     """Triplets with each position once; ids below 1 or beyond the shape are dropped.
 
+    ``entries`` is how many triplets there are at most, where that is known.
     ``combine`` is a name of COMBINE, "first" (by ``pos``) or any aggregation of a column.
     """
     used = coo.filter((F.col("gi") >= 1) & (F.col("gj") >= 1))
@@ -38,7 +40,7 @@ def compress(coo: DataFrame, m: int | None = None, n: int | None = None, combine
         value = F.min_by("v", "pos")
     else:
         value = combine(F.col("v")) if callable(combine) else COMBINE[combine]("v")
-    return used.groupBy(*by, "gi", "gj").agg(value.alias("v"))
+    return spread(used, entries, *by, "gi", "gj").groupBy(*by, "gi", "gj").agg(value.alias("v"))
 
 
 def multiply(a: DataFrame, x: DataFrame, n: int | None = None) -> DataFrame:
@@ -52,11 +54,32 @@ def multiply(a: DataFrame, x: DataFrame, n: int | None = None) -> DataFrame:
     return a.join(right, "gj").groupBy(F.col("gi").alias("gid")).agg(F.sum(F.col("v") * F.col("__x")).alias("v"))
 
 
-def multiply_all(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(gi, gj, v) of a product of two matrices."""
+def multiply_all(a: DataFrame, b: DataFrame, sizes: tuple[int | None, int | None] = (None, None), shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """(gi, gj, v) of a product of two matrices.
+
+    ``sizes`` are the entries that each has at most, ``shape`` the lengths of rows, inner ids and columns.
+    """
     right = b.select(F.col("gi").alias("__k"), F.col("gj").alias("__j"), F.col("v").alias("__w"))
-    joined = a.select("gi", F.col("gj").alias("__k"), "v").join(right, "__k")
-    return joined.groupBy("gi", F.col("__j").alias("gj")).agg(F.sum(F.col("v") * F.col("__w")).alias("v"))
+    left = a.select("gi", F.col("gj").alias("__k"), "v")
+    return _summed(_pairs(left, right, sizes, "__k"), "gi", "__j", sizes, shape)
+
+
+def _pairs(left: DataFrame, right: DataFrame, sizes: tuple[int | None, int | None], key: str) -> DataFrame:
+    """A join whose smaller side is broadcast where it is known to be small, else over tasks that follow the entries."""
+    for k, n in enumerate(sizes):
+        other = sizes[1 - k]
+        if n is not None and n <= BROADCAST_IDS and other is not None and other > ROWS_PER_TASK:
+            return F.broadcast(left).join(right, key) if k == 0 else left.join(F.broadcast(right), key)
+    most = None if None in sizes else max(sizes)
+    return spread(left, most, key).join(spread(right, most, key), key)
+
+
+def _summed(pairs: DataFrame, i: str, j: str, sizes: tuple[int | None, int | None], shape: tuple[int, int, int] | None) -> DataFrame:
+    """Partial products added up: before the shuffle where the result is small, over tasks that follow their number where it isn't."""
+    products = pairs.select(F.col(i).alias("gi"), F.col(j).alias("gj"), (F.col("v") * F.col("__w")).alias("v"))
+    if shape is not None and shape[0] * shape[2] > ROWS_PER_TASK:
+        products = spread(products, per_key(*sizes, shape[1]), "gi", "gj")
+    return products.groupBy("gi", "gj").agg(F.sum("v").alias("v"))
 
 
 def transpose(a: DataFrame) -> DataFrame:
@@ -71,6 +94,8 @@ class PSparseMatrix:
     assembled: bool = True
     #: Contributions whose sum this is, where they are known: products with vectors need no assembly.
     raw: DataFrame | None = None
+    #: How many entries there are at most (in products: about), where that is known.
+    entries_bound: int | None = None
 
     def __repr__(self) -> str:
         state = "" if self.assembled else " (not assembled)"
@@ -92,10 +117,10 @@ class PSparseMatrix:
         """Contributions summed at the owners of the rows."""
         if self.assembled:
             return self
-        return PSparseMatrix(compress(self.df), self.rows.remove_ghost(), self.cols.remove_ghost())
+        return PSparseMatrix(self.triplets(), self.rows.remove_ghost(), self.cols.remove_ghost(), entries_bound=self.entries_bound)
 
     def triplets(self) -> DataFrame:
-        return self.df if self.assembled else compress(self.df)
+        return self.df if self.assembled else compress(self.df, entries=self.entries_bound)
 
     def contributions(self) -> DataFrame:
         """(gi, gj, v), positions perhaps repeated: enough for what is linear in the entries."""
@@ -140,7 +165,7 @@ class PSparseMatrix:
             raise ValueError("assemble before repartitioning")
         self.rows.check_like(rows, "rows", parts=False)
         self.cols.check_like(cols, "columns", parts=False)
-        return PSparseMatrix(self.df, rows, cols)
+        return PSparseMatrix(self.df, rows, cols, entries_bound=self.entries_bound)
 
     def repartition_system(self, b: PVector, rows: PRange, cols: PRange) -> tuple[PSparseMatrix, PVector]:
         """Matrix and right-hand side under other owners."""
@@ -203,13 +228,17 @@ class PSparseMatrix:
     def fill_stored(self, a: float) -> PSparseMatrix:
         return self.map(lambda _: F.lit(float(a)))
 
+    def _linear(self, f) -> PSparseMatrix:
+        """``map`` by something linear, which contributions stand as well."""
+        return replace(self.map(f), raw=None if self.raw is None else self.raw.withColumn("v", f(F.col("v"))))
+
     def __mul__(self, a: float) -> PSparseMatrix:
-        return self.map(lambda v: v * F.lit(a))
+        return self._linear(lambda v: v * F.lit(a))
 
     __rmul__ = __mul__
 
     def __neg__(self) -> PSparseMatrix:
-        return self.map(lambda v: -v)
+        return self._linear(lambda v: -v)
 
     def __pos__(self) -> PSparseMatrix:
         return self
@@ -218,18 +247,20 @@ class PSparseMatrix:
         self.rows.check_like(other.rows, "rows")
         self.cols.check_like(other.cols, "columns")
         both = self.triplets().unionByName(other.triplets())
-        return PSparseMatrix(compress(both), self.rows, self.cols)
+        most = total(self.entries_bound, other.entries_bound)
+        return PSparseMatrix(compress(both, entries=most), self.rows, self.cols, entries_bound=most)
 
     def __sub__(self, other: PSparseMatrix) -> PSparseMatrix:
         return self + -other
 
     def identity_minus(self) -> PSparseMatrix:
         eye = self.rows.own().select(F.col("gid").alias("gi"), F.col("gid").alias("gj"), F.lit(1.0).alias("v"))
-        return PSparseMatrix(compress(eye.unionByName((-self).triplets().select("gi", "gj", "v"))), self.rows, self.cols)
+        most = total(self.entries_bound, self.rows.n)
+        return PSparseMatrix(compress(eye.unionByName((-self).triplets().select("gi", "gj", "v")), entries=most), self.rows, self.cols, entries_bound=most)
 
     @property
     def T(self) -> PSparseMatrix:  # noqa: N802
-        return PSparseMatrix(transpose(self.triplets()), self.cols, self.rows, raw=None if self.raw is None else transpose(self.raw))
+        return PSparseMatrix(transpose(self.triplets()), self.cols, self.rows, raw=None if self.raw is None else transpose(self.raw), entries_bound=self.entries_bound)
 
     # -- products
 
@@ -238,7 +269,8 @@ class PSparseMatrix:
             raise ValueError(f"product: {self.cols.n} columns and {other.rows.n} rows")
         if isinstance(other, PVector):
             return from_gvec(multiply(self.contributions(), other.gvec(), other.rows.n), self.rows)
-        return PSparseMatrix(multiply_all(self.triplets(), other.triplets()), self.rows, other.cols)
+        sizes, shape = (self.entries_bound, other.entries_bound), (self.rows.n, self.cols.n, other.cols.n)
+        return PSparseMatrix(multiply_all(self.triplets(), other.triplets(), sizes, shape), self.rows, other.cols, entries_bound=_most(sizes, shape))
 
     def mul(self, x: PVector, alpha: float = 1.0, beta: float = 0.0, c: PVector | None = None) -> PVector:
         """alpha A x + beta c."""
@@ -252,13 +284,15 @@ class PSparseMatrix:
         """
         if self.rows.n != other.rows.n:
             raise ValueError(f"product: {self.rows.n} and {other.rows.n} rows")
+        sizes, shape = (self.entries_bound, other.entries_bound), (self.cols.n, self.rows.n, other.cols.n)
         right = other.triplets().select("gi", F.col("gj").alias("__j"), F.col("v").alias("__w"))
-        joined = self.triplets().select("gi", F.col("gj").alias("__i"), "v").join(right, "gi")
-        return PSparseMatrix(joined.groupBy(F.col("__i").alias("gi"), F.col("__j").alias("gj")).agg(F.sum(F.col("v") * F.col("__w")).alias("v")), self.cols, other.cols)
+        left = self.triplets().select("gi", F.col("gj").alias("__i"), "v")
+        return PSparseMatrix(_summed(_pairs(left, right, sizes, "gi"), "__i", "__j", sizes, shape), self.cols, other.cols, entries_bound=_most(sizes, shape))
 
     def diag(self) -> PVector:
         """The dense diagonal, 0 where nothing is stored."""
-        return from_gvec(self.triplets().filter("gi = gj").select(F.col("gi").alias("gid"), "v"), self.rows)
+        # Not "gi = gj": a product would take that as a key of its join, which then isn't dealt out as planned.
+        return from_gvec(self.triplets().filter("gi - gj = 0").select(F.col("gi").alias("gid"), "v"), self.rows)
 
     def scale_rows(self, d: PVector) -> PSparseMatrix:
         """diag(d) A."""
@@ -274,22 +308,30 @@ class PSparseMatrix:
         return from_gvec(table, self.cols)
 
 
+def _most(sizes: tuple[int | None, int | None], shape: tuple[int, int, int]) -> int | None:
+    """Entries of a product: not more than its positions or about its partial products."""
+    products = per_key(*sizes, shape[1])
+    return None if products is None else min(products, shape[0] * shape[2])
+
+
 def rap(r: PSparseMatrix, a: PSparseMatrix, p: PSparseMatrix) -> PSparseMatrix:
     """R A P, from left to right."""
     return r @ a @ p
 
 
 def sparse_diag_matrix(d: PVector) -> PSparseMatrix:
-    return PSparseMatrix(d.gvec().select(F.col("gid").alias("gi"), F.col("gid").alias("gj"), "v"), d.rows, d.rows)
+    return PSparseMatrix(d.gvec().select(F.col("gid").alias("gi"), F.col("gid").alias("gj"), "v"), d.rows, d.rows, entries_bound=d.rows.n)
 
 
-def psparse(coo: DataFrame, rows: PRange, cols: PRange, assemble: bool = True, combine: str = "+", drop_offpart: bool = False, indices: str = "global", assembled: bool = False) -> PSparseMatrix:
+def psparse(coo: DataFrame, rows: PRange, cols: PRange, assemble: bool = True, combine: str = "+", drop_offpart: bool = False, indices: str = "global", assembled: bool = False, entries: int | None = None) -> PSparseMatrix:
     """From triplets (part, gi, gj, v) of any part for any position.
 
     ``assemble=False`` sums within each part only. ``drop_offpart`` keeps only
     entries whose column the row's owner also owns. With ``indices="local"`` the
     ids are the part's local ones. ``assembled`` says that each owner has all of its
-    rows already: entries for rows of other parts are left out.
+    rows already: entries for rows of other parts are left out. ``entries`` is how
+    many triplets there are at most, where that is known; large sums then take as many
+    tasks as they need.
     """
     if indices == "local":
         coo = local_triplets(coo, rows, cols)
@@ -299,8 +341,8 @@ def psparse(coo: DataFrame, rows: PRange, cols: PRange, assemble: bool = True, c
         coo = cols.find_owner(rows.find_owner(coo, "gi", "__r"), "gj", "__c").filter("__r = __c").drop("__r", "__c")
     if assemble or assembled:
         raw = coo.filter((F.col("gi") >= 1) & (F.col("gj") >= 1)).select("gi", "gj", "v") if combine == "+" else None
-        return PSparseMatrix(compress(coo, combine=combine), rows, cols, raw=raw)
-    return PSparseMatrix(compress(coo, combine=combine, by=("part",)), rows, cols, assembled=False)
+        return PSparseMatrix(compress(coo, combine=combine, entries=entries), rows, cols, raw=raw, entries_bound=entries)
+    return PSparseMatrix(compress(coo, combine=combine, by=("part",), entries=entries), rows, cols, assembled=False, entries_bound=entries)
 
 
 def local_triplets(coo: DataFrame, rows: PRange, cols: PRange) -> DataFrame:

@@ -56,7 +56,7 @@ def suppliers(spark: SparkSession, sf: str) -> PRange:
 
 
 def matrix(spark: SparkSession, sf: str) -> PSparseMatrix:
-    return psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf))
+    return psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf), entries=read(spark, sf, "lineitem").count())
 
 
 def balances(spark: SparkSession, sf: str) -> PVector:
@@ -89,7 +89,7 @@ def coo_assemble(spark, sf):
 
 @query("coo_assemble_by_part", f"SELECT CAST(part AS INTEGER) AS part, gi, gj, sum(v) AS v FROM ({COO}) GROUP BY 1, 2, 3")
 def coo_assemble_by_part(spark, sf):
-    return psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf), assemble=False).df
+    return psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf), assemble=False, entries=read(spark, sf, "lineitem").count()).df
 
 
 for _op, _sql in (("max", "max(v)"), ("min", "min(v)"), ("*", "product(v)")):
@@ -118,7 +118,7 @@ def coo_within_shape(spark, sf):
 
 @query("psparse_assemble_later", MAT)
 def psparse_assemble_later(spark, sf):
-    return psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf), assemble=False).assemble().df
+    return psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf), assemble=False, entries=read(spark, sf, "lineitem").count()).assemble().df
 
 
 @query("psparse_refill", f"SELECT gi, gj, 2 * v AS v FROM ({MAT})")
@@ -187,7 +187,8 @@ def spmv_transpose(spark, sf):
 def by_nation(spark, sf) -> PSparseMatrix:
     """Ones from suppliers to their nations."""
     p = tables.coo(read(spark, sf, "supplier"), F.col("s_suppkey") + 1, F.col("s_nationkey") + 1, F.lit(1.0))
-    return psparse(p, suppliers(spark, sf), uniform_partition(spark, PARTS, read(spark, sf, "nation").count()))
+    rows = suppliers(spark, sf)
+    return psparse(p, rows, uniform_partition(spark, PARTS, read(spark, sf, "nation").count()), entries=rows.n)
 
 
 @query("spmm", f"SELECT gi, CAST(s_nationkey + 1 AS BIGINT) AS gj, sum(v) AS v FROM ({MAT}) JOIN supplier ON s_suppkey + 1 = gj GROUP BY 1, 2")
@@ -276,7 +277,7 @@ def row_scale(spark, sf):
     f"SELECT CAST(part AS INTEGER) AS part, row_owner = part AS own_row, col_owner = part AS own_col, count(*) AS entries FROM (SELECT part, {own_part('gi', ORDERS)} AS row_owner, {own_part('gj', SUPPLIERS)} AS col_owner FROM (SELECT part, gi, gj FROM ({COO}) GROUP BY 1, 2, 3)) GROUP BY 1, 2, 3",
 )
 def blocks_own_ghost(spark, sf):
-    a = psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf), assemble=False).with_owners()
+    a = psparse(triplets(spark, sf), orders(spark, sf), suppliers(spark, sf), assemble=False, entries=read(spark, sf, "lineitem").count()).with_owners()
     own_row, own_col = F.col("row_owner") == F.col("part"), F.col("col_owner") == F.col("part")
     return a.groupBy("part", own_row.alias("own_row"), own_col.alias("own_col")).agg(F.count("*").alias("entries"))
 
@@ -696,14 +697,15 @@ _BX = f"SELECT b AS block_j, gid, CASE b WHEN 'O' THEN v ELSE 2 * v END AS v FRO
 
 def block_triplets(spark, sf) -> DataFrame:
     li = read(spark, sf, "lineitem")
-    return li.groupBy(F.col("l_returnflag").alias("block_i"), F.col("l_linestatus").alias("block_j"), (F.col("l_orderkey") + 1).alias("gi"), (F.col("l_suppkey") + 1).alias("gj")).agg(F.sum("l_quantity").alias("v"))
+    coo = li.select(F.col("l_returnflag").alias("block_i"), F.col("l_linestatus").alias("block_j"), (F.col("l_orderkey") + 1).alias("gi"), (F.col("l_suppkey") + 1).alias("gj"), F.col("l_quantity").alias("v"))
+    return compress(coo, by=("block_i", "block_j"), entries=li.count())
 
 
 @query("block_spmv", f"SELECT block_i, gi AS gid, sum(a.v * x.v) AS v FROM ({_BCOO}) a JOIN ({_BX}) x ON x.block_j = a.block_j AND x.gid = a.gj GROUP BY 1, 2")
 def block_spmv(spark, sf):
     x = balances(spark, sf).gvec()
     blocks = x.withColumn("block_i", F.lit("O")).unionByName(x.withColumn("v", F.col("v") * 2).withColumn("block_i", F.lit("F")))
-    return block_multiply(block_triplets(spark, sf), blocks)
+    return block_multiply(block_triplets(spark, sf), blocks, 2 * read(spark, sf, "supplier").count(), read(spark, sf, "lineitem").count())
 
 
 @query("block_dot", f"SELECT sum(v * v) AS dot, count(*) AS nnz, max(v) AS hi FROM ({_BCOO})")

@@ -527,7 +527,7 @@ _BPRODUCT = f"SELECT i.i, gid, coalesce(p.v, 0.0) AS v FROM range(1, 3) i(i), ra
 def block_matrix(spark, sf) -> BMatrix:
     """The running example four times, with factors 1, 2, 3 and 4."""
     a = matrix(spark, sf)
-    return BMatrix.of([[a, a.map(lambda v: v * 2)], [a.map(lambda v: v * 3), a.map(lambda v: v * 4)]])
+    return BMatrix.of([[a, a * 2.0], [a * 3.0, a * 4.0]])
 
 
 @query("bmatrix_multiply", f"SELECT CAST(i AS INTEGER) AS block_i, gid, CASE i WHEN 1 THEN 5 * v ELSE 11 * v END AS v FROM ({_BPRODUCT})")
