@@ -42,3 +42,9 @@ def test_block_products(spark, made):
     found = b @ BVector.of([x, x * 2.0])
     y = d @ np.arange(1.0, 11.0)
     assert tasks(found.df) >= 240 // 5 and found.collect() == [*(5 * y), *(11 * y)]
+
+
+def test_transposed_products(made):
+    a, d = made
+    found = a.spmtm(a)
+    assert tasks(found.df) >= 60 * 60 // 20 // 5 and np.allclose(found.dense(), d.T @ d)
