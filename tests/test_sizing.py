@@ -48,3 +48,9 @@ def test_transposed_products(made):
     a, d = made
     found = a.spmtm(a)
     assert tasks(found.df) >= 60 * 60 // 20 // 5 and np.allclose(found.dense(), d.T @ d)
+
+
+def test_identity_minus_a_product(made):
+    a, d = made
+    found = a.spmtm(a).identity_minus()
+    assert tasks(found.df) >= (100 + 10) // 5 and np.allclose(found.dense(), np.eye(10) - d.T @ d)
