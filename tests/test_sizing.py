@@ -54,3 +54,9 @@ def test_identity_minus_a_product(made):
     a, d = made
     found = a.spmtm(a).identity_minus()
     assert tasks(found.df) >= (100 + 10) // 5 and np.allclose(found.dense(), np.eye(10) - d.T @ d)
+
+
+def test_galerkin_product(spark, made):
+    a, d = made
+    found = rap(a.T, sparse_diag_matrix(pfill(2.0, a.rows)), a)
+    assert tasks(found.df) >= 60 * 60 // 20 // 5 and np.allclose(found.dense(), 2 * d.T @ d)
