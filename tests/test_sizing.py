@@ -60,3 +60,10 @@ def test_galerkin_product(spark, made):
     a, d = made
     found = rap(a.T, sparse_diag_matrix(pfill(2.0, a.rows)), a)
     assert tasks(found.df) >= 60 * 60 // 20 // 5 and np.allclose(found.dense(), 2 * d.T @ d)
+
+
+def test_block_alpha_beta(made):
+    a, d = made
+    ones = pfill(1.0, a.cols)
+    found = BMatrix.of([[a, a * 2.0]]).mul(BVector.of([ones, ones]), 0.5, 4.0, BVector.of([pfill(1.0, a.rows)]))
+    assert tasks((BMatrix.of([[a, a * 2.0]]) @ BVector.of([ones, ones])).df) >= 120 // 5 and np.allclose(found.collect(), 1.5 * d.sum(1) + 4)
