@@ -67,3 +67,10 @@ def test_block_alpha_beta(made):
     ones = pfill(1.0, a.cols)
     found = BMatrix.of([[a, a * 2.0]]).mul(BVector.of([ones, ones]), 0.5, 4.0, BVector.of([pfill(1.0, a.rows)]))
     assert tasks((BMatrix.of([[a, a * 2.0]]) @ BVector.of([ones, ones])).df) >= 120 // 5 and np.allclose(found.collect(), 1.5 * d.sum(1) + 4)
+
+
+def test_diagonal_of_a_product(made):
+    a, d = made
+    found = a.spmtm(a).diag()
+    joins = found.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [gi" in joins and np.allclose(found.collect(), np.diag(d.T @ d))
