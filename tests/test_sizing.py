@@ -74,3 +74,10 @@ def test_diagonal_of_a_product(made):
     found = a.spmtm(a).diag()
     joins = found.df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [gi" in joins and np.allclose(found.collect(), np.diag(d.T @ d))
+
+
+def test_block_product_of_stored_rows(spark, small_tasks):
+    a = spark.createDataFrame([("R", "O", k, 1 + k % 3, 1.0) for k in range(1, 31)], "block_i string, block_j string, gi long, gj long, v double")
+    x = spark.createDataFrame([("O", k, float(k)) for k in (1, 2, 3)], "block_i string, gid long, v double")
+    found = block_multiply(a, x, 3, 30)
+    assert tasks(found) >= 30 // 5 and sorted(map(tuple, found.collect())) == [("R", k, 1.0 + k % 3) for k in range(1, 31)]
