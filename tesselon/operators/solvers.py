@@ -451,6 +451,10 @@ def _minus(x, dx):
     return x.axpy(-1.0, dx) if hasattr(x, "axpy") else x - dx
 
 
+def _cut(x):
+    return x.cut() if hasattr(x, "cut") else x
+
+
 @dataclass(frozen=True)
 class NewtonRaphson:
     """x - J^-1 r until residual or step is small; largest absolute values count."""
@@ -470,7 +474,7 @@ class NewtonRaphson:
     def step(self, state: NewtonState | str | None = None) -> tuple[NewtonRaphson, NewtonState | str]:
         p = self.problem if state is not None else self.problem.at(self.problem.solution)
         dx = _solve_linear(p.jacobian, p.residual, self.solver)
-        p = p.at(_minus(p.solution, dx))
+        p = p.at(_cut(_minus(p.solution, dx)))  # else each task repeats the joins of all steps so far
         done = NewtonState((state.iteration if state else 0) + 1, _largest(p.residual), _largest(dx))
         if self.verbose:
             print(f"{self.output_prefix}{done.iteration:>6} {done.residual_loss:.3e} {done.solution_loss:.3e}")
@@ -521,7 +525,7 @@ class TrustRegion:
                 way = _minus(newton, cauchy)
                 a, b, c = _dot(way, way), 2 * _dot(cauchy, way), long**2 - radius**2
                 step = _plus(cauchy, way * ((-b + (b * b - 4 * a * c) ** 0.5) / (2 * a)))
-        tried = p.at(_minus(p.solution, step))
+        tried = p.at(_cut(_minus(p.solution, step)))
         before = _dot(r, r)
         expected = before - _dot(left := _minus(r, _times(j, step)), left)
         gain = (before - _dot(tried.residual, tried.residual)) / expected if expected > 0 else 1.0

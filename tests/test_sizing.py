@@ -81,3 +81,12 @@ def test_block_product_of_stored_rows(spark, small_tasks):
     x = spark.createDataFrame([("O", k, float(k)) for k in (1, 2, 3)], "block_i string, gid long, v double")
     found = block_multiply(a, x, 3, 30)
     assert tasks(found) >= 30 // 5 and sorted(map(tuple, found.collect())) == [("R", k, 1.0 + k % 3) for k in range(1, 31)]
+
+
+def test_newton_iterates_have_no_joins_behind_them(spark):
+    rows = uniform_partition(spark, 2, 4)
+    c = pfill(9.0, rows)
+    problem = solvers.nonlinear_problem(lambda x: (x.zip(c, lambda a, b: a * a - b), sparse_diag_matrix(x * 2.0)), pfill(4.0, rows))
+    found, _ = solvers.newton_raphson(problem, solver=solvers.jacobi_correction).step()
+    x = found.problem.solution
+    assert "Join" not in x.df._jdf.queryExecution().optimizedPlan().toString() and x.collect() == [3.125] * 4
