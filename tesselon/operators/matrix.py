@@ -61,16 +61,24 @@ def multiply_all(a: DataFrame, b: DataFrame, sizes: tuple[int | None, int | None
     """
     right = b.select(F.col("gi").alias("__k"), F.col("gj").alias("__j"), F.col("v").alias("__w"))
     left = a.select("gi", F.col("gj").alias("__k"), "v")
-    return _summed(_pairs(left, right, sizes, "__k"), "gi", "__j", sizes, shape)
+    return _summed(_pairs(left, right, sizes, "__k", shape), "gi", "__j", sizes, shape)
 
 
-def _pairs(left: DataFrame, right: DataFrame, sizes: tuple[int | None, int | None], key: str) -> DataFrame:
-    """A join whose smaller side is broadcast where it is known to be small, else over tasks that follow the entries."""
-    for k, n in enumerate(sizes):
-        other = sizes[1 - k]
-        if n is not None and n <= BROADCAST_IDS and other is not None and other > ROWS_PER_TASK:
-            return F.broadcast(left).join(right, key) if k == 0 else left.join(F.broadcast(right), key)
-    most = None if None in sizes else max(sizes)
+def _pairs(left: DataFrame, right: DataFrame, sizes: tuple[int | None, int | None], key: str, shape: tuple[int, int, int] | None) -> DataFrame:
+    """A join over as many tasks as its entries or its partial products need, whichever are more.
+
+    A task holds what it writes for the sums as well as what it reads. A side that is
+    known to be small is broadcast; the other is then dealt out by whole entries.
+    """
+    if None in sizes:
+        return left.join(right, key)
+    products = 0 if shape is None else per_key(*sizes, shape[1])
+    most, small = max(*sizes, products), sizes.index(min(sizes))
+    if most > ROWS_PER_TASK and sizes[small] <= BROADCAST_IDS:
+        large = left if small else right
+        if products > max(sizes):
+            large = spread(large, products, *large.columns)
+        return large.join(F.broadcast(right), key) if small else F.broadcast(left).join(large, key)
     return spread(left, most, key).join(spread(right, most, key), key)
 
 
@@ -287,7 +295,7 @@ class PSparseMatrix:
         sizes, shape = (self.entries_bound, other.entries_bound), (self.cols.n, self.rows.n, other.cols.n)
         right = other.triplets().select("gi", F.col("gj").alias("__j"), F.col("v").alias("__w"))
         left = self.triplets().select("gi", F.col("gj").alias("__i"), "v")
-        return PSparseMatrix(_summed(_pairs(left, right, sizes, "gi"), "__i", "__j", sizes, shape), self.cols, other.cols, entries_bound=_most(sizes, shape))
+        return PSparseMatrix(_summed(_pairs(left, right, sizes, "gi", shape), "__i", "__j", sizes, shape), self.cols, other.cols, entries_bound=_most(sizes, shape))
 
     def diag(self) -> PVector:
         """The dense diagonal, 0 where nothing is stored."""

@@ -1,5 +1,7 @@
 """Large sums and joins take as many tasks as their rows need, with the same results."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -50,6 +52,27 @@ def test_transposed_products(made):
     assert tasks(found.df) >= 60 * 60 // 20 // 5 and np.allclose(found.dense(), d.T @ d)
 
 
+def dealt(df, *keys):
+    """Into how many tasks the plan deals rows out by these keys, fewest first."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sorted(int(n) for found, n in re.findall(r"RepartitionByExpression \[(.*?)\], (\d+)", plan) if tuple(c.split("#")[0] for c in found.split(", ")) == keys)
+
+
+def test_joins_of_transposed_products_follow_the_partial_products(made):
+    a, d = made
+    found = a.spmtm(a)
+    assert dealt(found.df, "gi") == [60 * 60 // 20 // 5] * 2 and np.allclose(found.dense(), d.T @ d)
+
+
+def test_joins_with_a_small_matrix_follow_the_partial_products(made, monkeypatch):
+    a, d = made
+    monkeypatch.setattr(matrix, "BROADCAST_IDS", 60)
+    found = a.spmtm(a)
+    assert dealt(found.df, "gi", "__j", "__w") == [60 * 60 // 20 // 5] and np.allclose(found.dense(), d.T @ d)
+    found = a @ a.T
+    assert dealt(found.df, "__k", "__j", "__w") == [60 * 60 // 10 // 5] and np.allclose(found.dense(), d @ d.T)
+
+
 def test_identity_minus_a_product(made):
     a, d = made
     found = a.spmtm(a).identity_minus()
