@@ -64,6 +64,13 @@ def test_joins_of_transposed_products_follow_the_partial_products(made):
     assert dealt(found.df, "gi") == [60 * 60 // 20 // 5] * 2 and np.allclose(found.dense(), d.T @ d)
 
 
+def test_joins_of_products_of_three_follow_the_partial_products(spark, made):
+    a, d = made
+    ones = psparse(spark.range(10).selectExpr("1 AS part", "id + 1 AS gi", "1 AS gj", "1d AS v"), a.cols, uniform_partition(spark, 1, 1), entries=10)
+    found = rap(ones.T, a.spmtm(a), ones)
+    assert dealt(found.df, "gi")[-2:] == [60 * 60 // 20 // 5] * 2 and np.allclose(found.dense(), (d.T @ d).sum())
+
+
 def test_joins_with_a_small_matrix_follow_the_partial_products(made, monkeypatch):
     a, d = made
     monkeypatch.setattr(matrix, "BROADCAST_IDS", 60)
