@@ -55,13 +55,13 @@ def multiply(a: DataFrame, x: DataFrame, n: int | None = None) -> DataFrame:
 
 
 def multiply_all(a: DataFrame, b: DataFrame, sizes: tuple[int | None, int | None] = (None, None), shape: tuple[int, int, int] | None = None) -> DataFrame:
-    """(gi, gj, v) of a product of two matrices.
+    """(gi, gj, v) of the partial products of two matrices.
 
     ``sizes`` are the entries that each has at most, ``shape`` the lengths of rows, inner ids and columns.
     """
     right = b.select(F.col("gi").alias("__k"), F.col("gj").alias("__j"), F.col("v").alias("__w"))
     left = a.select("gi", F.col("gj").alias("__k"), "v")
-    return _summed(_pairs(left, right, sizes, "__k", shape), "gi", "__j", sizes, shape)
+    return _products(_pairs(left, right, sizes, "__k", shape), "gi", "__j")
 
 
 def _pairs(left: DataFrame, right: DataFrame, sizes: tuple[int | None, int | None], key: str, shape: tuple[int, int, int] | None) -> DataFrame:
@@ -82,9 +82,13 @@ def _pairs(left: DataFrame, right: DataFrame, sizes: tuple[int | None, int | Non
     return spread(left, most, key).join(spread(right, most, key), key)
 
 
-def _summed(pairs: DataFrame, i: str, j: str, sizes: tuple[int | None, int | None], shape: tuple[int, int, int] | None) -> DataFrame:
+def _products(pairs: DataFrame, i: str, j: str) -> DataFrame:
+    """(gi, gj, v), a row for every partial product."""
+    return pairs.select(F.col(i).alias("gi"), F.col(j).alias("gj"), (F.col("v") * F.col("__w")).alias("v"))
+
+
+def _summed(products: DataFrame, sizes: tuple[int | None, int | None], shape: tuple[int, int, int] | None) -> DataFrame:
     """Partial products added up: before the shuffle where the result is small, over tasks that follow their number where it isn't."""
-    products = pairs.select(F.col(i).alias("gi"), F.col(j).alias("gj"), (F.col("v") * F.col("__w")).alias("v"))
     if shape is not None and shape[0] * shape[2] > ROWS_PER_TASK:
         products = spread(products, per_key(*sizes, shape[1]), "gi", "gj")
     return products.groupBy("gi", "gj").agg(F.sum("v").alias("v"))
@@ -104,6 +108,9 @@ class PSparseMatrix:
     raw: DataFrame | None = None
     #: How many entries there are at most (in products: about), where that is known.
     entries_bound: int | None = None
+    #: In products: the partial products that add up to this and about how many there are, where that is known.
+    partial: DataFrame | None = None
+    partial_bound: int | None = None
 
     def __repr__(self) -> str:
         state = "" if self.assembled else " (not assembled)"
@@ -114,7 +121,7 @@ class PSparseMatrix:
         return self.rows.n, self.cols.n
 
     def _of(self, df: DataFrame) -> PSparseMatrix:
-        return replace(self, df=df, raw=None)
+        return replace(self, df=df, raw=None, partial=None, partial_bound=None)
 
     def cut(self) -> PSparseMatrix:
         return self._of(cut(self.df))
@@ -277,8 +284,18 @@ class PSparseMatrix:
             raise ValueError(f"product: {self.cols.n} columns and {other.rows.n} rows")
         if isinstance(other, PVector):
             return from_gvec(multiply(self.contributions(), other.gvec(), other.rows.n), self.rows)
-        sizes, shape = (self.entries_bound, other.entries_bound), (self.rows.n, self.cols.n, other.cols.n)
-        return PSparseMatrix(multiply_all(self.triplets(), other.triplets(), sizes, shape), self.rows, other.cols, entries_bound=_most(sizes, shape))
+        (left, m), (right, n) = (self.triplets(), self.entries_bound), (other.triplets(), other.entries_bound)
+        # One sum for a chain of products: what is broadcast and makes no more of them takes partial products as they are.
+        if self.partial is not None and other._few(self.cols.n):
+            left, m = self.partial, self.partial_bound
+        elif other.partial is not None and self._few(self.cols.n):
+            right, n = other.partial, other.partial_bound
+        shape = (self.rows.n, self.cols.n, other.cols.n)
+        return _product(multiply_all(left, right, (m, n), shape), (m, n), shape, self.rows, other.cols)
+
+    def _few(self, keys: int) -> bool:
+        """Whether this is small enough to be broadcast and has not more than an entry for each inner id on average."""
+        return self.entries_bound is not None and self.entries_bound <= min(keys, BROADCAST_IDS)
 
     def mul(self, x: PVector, alpha: float = 1.0, beta: float = 0.0, c: PVector | None = None) -> PVector:
         """alpha A x + beta c."""
@@ -295,7 +312,7 @@ class PSparseMatrix:
         sizes, shape = (self.entries_bound, other.entries_bound), (self.cols.n, self.rows.n, other.cols.n)
         right = other.triplets().select("gi", F.col("gj").alias("__j"), F.col("v").alias("__w"))
         left = self.triplets().select("gi", F.col("gj").alias("__i"), "v")
-        return PSparseMatrix(_summed(_pairs(left, right, sizes, "gi", shape), "__i", "__j", sizes, shape), self.cols, other.cols, entries_bound=_most(sizes, shape))
+        return _product(_products(_pairs(left, right, sizes, "gi", shape), "__i", "__j"), sizes, shape, self.cols, other.cols)
 
     def diag(self) -> PVector:
         """The dense diagonal, 0 where nothing is stored."""
@@ -316,14 +333,16 @@ class PSparseMatrix:
         return from_gvec(table, self.cols)
 
 
-def _most(sizes: tuple[int | None, int | None], shape: tuple[int, int, int]) -> int | None:
-    """Entries of a product: not more than its positions or about its partial products."""
-    products = per_key(*sizes, shape[1])
-    return None if products is None else min(products, shape[0] * shape[2])
+def _product(partial: DataFrame, sizes: tuple[int | None, int | None], shape: tuple[int, int, int], rows: PRange, cols: PRange) -> PSparseMatrix:
+    """The sum of partial products; it has not more entries than positions or about as many as these."""
+    most, df = per_key(*sizes, shape[1]), _summed(partial, sizes, shape)
+    if most is None:
+        return PSparseMatrix(df, rows, cols)
+    return PSparseMatrix(df, rows, cols, entries_bound=min(most, shape[0] * shape[2]), partial=partial, partial_bound=most)
 
 
 def rap(r: PSparseMatrix, a: PSparseMatrix, p: PSparseMatrix) -> PSparseMatrix:
-    """R A P, from left to right."""
+    """R A P, from left to right; in one sum where A is a product and R and P have about an entry for each of its ids."""
     return r @ a @ p
 
 

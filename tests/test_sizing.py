@@ -80,6 +80,37 @@ def test_joins_with_a_small_matrix_follow_the_partial_products(made, monkeypatch
     assert dealt(found.df, "__k", "__j", "__w") == [60 * 60 // 10 // 5] and np.allclose(found.dense(), d @ d.T)
 
 
+def groups(spark, n):
+    """(by, dense): 10 ids to n groups, an entry each."""
+    rows = uniform_partition(spark, 3, 10)
+    by = psparse(spark.range(10).selectExpr("1 AS part", "id + 1 AS gi", f"id % {n} + 1 AS gj", "double(id - 4) AS v"), rows, uniform_partition(spark, 1, n), entries=10)
+    dense = np.zeros((10, n))
+    dense[np.arange(10), np.arange(10) % n] = np.arange(10) - 4
+    return by, dense
+
+
+@pytest.mark.parametrize("n", [2, 7])
+def test_a_product_by_groups_is_summed_once(spark, made, monkeypatch, n):
+    a, d = made
+    monkeypatch.setattr(matrix, "BROADCAST_IDS", 10)
+    by, g = groups(spark, n)
+    found = rap(by.T, a.spmtm(a), by)
+    sums = [4] * 2 + [60 // 5] * 2 + [60 * 60 // 20 // 5] * (n * n > 5)  # two assemblies of each matrix, then the result
+    assert dealt(found.df, "gi", "gj") == sums and np.allclose(found.dense(), g.T @ d.T @ d @ g)
+
+
+def test_products_that_grow_are_summed_first(spark, made, monkeypatch):
+    a, d = made
+    by, g = groups(spark, 2)
+    monkeypatch.setattr(matrix, "BROADCAST_IDS", 60)
+    ata = a.spmtm(a)
+    found = a @ ata @ by
+    assert 60 * 60 // 20 // 5 in dealt(found.df, "gi", "gj") and np.allclose(found.dense(), d @ d.T @ d @ g)
+    small = by.spmtm(by)
+    assert np.allclose((by @ small @ small).dense(), g @ g.T @ g @ g.T @ g)
+    assert np.allclose(((ata * 2.0).T @ by).dense(), 2 * d.T @ d @ g)
+
+
 def test_identity_minus_a_product(made):
     a, d = made
     found = a.spmtm(a).identity_minus()
